@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shalework.llm import contamination, frequency, tokens
+from shalework.llm import contamination, frequency, splitting, tokens
 from shalework.session import table
 
 
@@ -30,7 +30,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_frequencies, p8_ids, p9_found)}
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of more than 512 tokens as pieces of at most 512 that share up to 64."""
+    return splitting.split_documents(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_frequencies, p8_ids, p9_found, p10_pieces)}
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
