@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shalework.llm import contamination, frequency, splitting, tokens
+from shalework.llm import contamination, frequency, neardup, splitting, tokens
 from shalework.session import table
 
 
+def _p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.texts_of(table(spark, d, "steps"), table(spark, d, "calculations"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of similar step texts and of similar calculations -> tab, id_a, id_b."""
+    return neardup.similar_pairs(_p5_texts(spark, d))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per text of at least 25 words: its class of equal sets, its group, and its number of links to other classes."""
+    return neardup.groups(_p5_texts(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Codes of layout objects that are too rare or too common -> field, val, mark."""
     f = frequency.code_frequencies(table(spark, d, "layout_objects"))
@@ -35,7 +49,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_frequencies, p8_ids, p9_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p7_found, p7_frequencies, p8_ids, p9_found, p10_pieces)}
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -58,7 +72,17 @@ dw AS (SELECT DISTINCT doc_id, hash(substr(t, k, 60)) AS w FROM (SELECT doc_id,
 iw AS (SELECT DISTINCT item_id, hash(substr(t, k, 60)) AS w FROM (SELECT item_id, t, unnest(range(1, length(t) - 58)) AS k FROM i WHERE length(t) >= 60))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw ON dw.w = iw.w"""
 
+_P5 = """
+WITH t AS (SELECT DISTINCT 'steps' AS tab, step_uid AS id, step_text AS x FROM steps UNION SELECT 'calculations', calc_id, calculation FROM calculations),
+w AS (SELECT tab, id, regexp_extract_all(lower(x), '[\\pL\\pN_]+') AS w FROM t WHERE id IS NOT NULL),
+g AS (SELECT DISTINCT tab, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 25),
+n AS (SELECT tab, id, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT a.tab, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.tab = b.tab AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT c.tab, id_a, id_b FROM c JOIN n x ON x.tab = c.tab AND x.id = id_a JOIN n y ON y.tab = c.tab AND y.id = id_b
+WHERE 10 * c >= 6 * (x.n + y.n - c)"""
+
 SQL = {
+    "p5_found": _P5,
     "p7_found": f"SELECT field, val, mark FROM ({_P7}) WHERE mark IS NOT NULL",
     "p7_frequencies": _P7,
     "p9_found": _P9,
