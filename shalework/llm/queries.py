@@ -5,10 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shalework.llm import contamination, frequency, neardup, splitting, tokens
+from shalework.llm import contamination, frequency, neardup, packing, secrets, splitting, tokens
 from shalework.session import table
 
 
+STEP_FIELDS = [secrets.Field("step_text"), secrets.Field("calculation"), secrets.Field("smtp_password", password=True)]
+SOURCE_FIELDS = [secrets.Field("password", password=True)]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Credentials in steps and data sources -> tab, rec_id, field, secret."""
+    steps = secrets.fields_of(table(spark, d, "steps"), "steps", "step_uid", "file", STEP_FIELDS)
+    sources = secrets.fields_of(table(spark, d, "data_sources"), "data_sources", "source_uid", "file", SOURCE_FIELDS)
+    return secrets.find_secrets(steps.unionByName(sources))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every step with its credentials masked -> step_uid, received_at, step_text, calculation, smtp_password."""
+    steps = table(spark, d, "steps").select("step_uid", "received_at", "step_text", "calculation", "smtp_password")
+    return secrets.redact(steps, p3_found(spark, d), "steps", "step_uid", STEP_FIELDS)
+
+
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The objects of the last snapshot in batches of at most 6,000 lines, each of one file, kind and folder."""
+    return packing.pack_snapshot(table(spark, d, "object_index"))
+
+
+def p4_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """As p4_batches, but a batch may mix kinds and folders of a file, the most alike first, which leaves fewer lines unused."""
+    return packing.pack_snapshot(table(spark, d, "object_index"), within=("file",))
+
+
+def p4_unused(spark: SparkSession, d: str) -> DataFrame:
+    """Batches, lines and unused lines of p4_batches by kind."""
+    batches = p4_batches(spark, d).groupBy("file", "kind", "batch").agg(F.sum("lines").alias("lines"))
+    return batches.groupBy("kind").agg(F.count("*").alias("batches"), F.sum("lines").alias("lines"), F.sum(6000 - F.col("lines")).alias("unused"))
+
+
 def _p5_texts(spark: SparkSession, d: str) -> DataFrame:
     return neardup.texts_of(table(spark, d, "steps"), table(spark, d, "calculations"))
 
@@ -49,7 +82,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p7_found, p7_frequencies, p8_ids, p9_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_batches, p4_mixed, p4_unused, p5_found, p5_groups, p7_found, p7_frequencies, p8_ids, p9_found, p10_pieces)}
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
