@@ -17,6 +17,7 @@ delivered more than once, is one row. Text around a masked value stays as it is,
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -39,46 +40,52 @@ _WORD = r"(?:pass(?:word|wort|phrase|wd|code)?|pwd|pw|kennwort|mdp|mot de passe|
 _NAME = rf"(?:[\w-]*?(?:{_WORD}|api[_-]?key|(?:access|secret|private|sign(?:ing)?|auth|enc(?:ryption)?)[_-]?key)|key|apikey|sig|signature|auth)"
 _I = re.IGNORECASE
 
-#: Values that are credentials wherever they stand.
-_SELF = (
-    (KEY, re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)")),
-    (TOKEN, re.compile(r"(?<![\w-])(eyJ[\w-]{6,}\.[\w-]{6,}\.[\w-]{6,})")),
-    (TOKEN, re.compile(r"(?<![A-Za-z0-9])(A[KS]IA[0-9A-Z]{16})(?![A-Za-z0-9])")),
-    (TOKEN, re.compile(r"(?<![A-Za-z0-9_])([srp]k_(?:live|test)_[A-Za-z0-9]{12,})")),
-    (TOKEN, re.compile(r"(?<![A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{20,})")),
-    (TOKEN, re.compile(r"(?<![A-Za-z0-9_])(xox[abeprs]-[A-Za-z0-9-]{10,})")),
-    (TOKEN, re.compile(r"(?<![\w-])([a-z]{3,6}(?:-[0-9a-f]{8}){3,4})(?![\w-])")),
-)
-
-#: Values in a telling position; group 1 is the value.
+#: Values that are credentials wherever they stand: kind, what the lower-case text must hold (any of), pattern.
+_SELF = tuple(
+    (kind, needles, re.compile(p))
+    for kind, needles, p in (
+        (KEY, ("private key",), r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"),
+        (TOKEN, ("eyj",), r"(?<![\w-])(eyJ[\w-]{6,}\.[\w-]{6,}\.[\w-]{6,})"),
+        (TOKEN, ("akia", "asia"), r"(?<![A-Za-z0-9])(A[KS]IA[0-9A-Z]{16})(?![A-Za-z0-9])"),
+        (TOKEN, ("k_live_", "k_test_"), r"(?<![A-Za-z0-9_])([srp]k_(?:live|test)_[A-Za-z0-9]{12,})"),
+        (TOKEN, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-"), r"(?<![A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{20,})"),
+        (TOKEN, ("xox",), r"(?<![A-Za-z0-9_])(xox[abeprs]-[A-Za-z0-9-]{10,})"),
+        (TOKEN, ("-",), r"(?<![\w-])([a-z]{3,6}(?:-[0-9a-f]{8}){3,4})(?![\w-])"),
+    )
+)
+
+#: Values in a telling position: what the lower-case text must hold (any of), and the pattern; group 1 is the value.
 _PLACED = tuple(
-    re.compile(p, _I)
-    for p in (
-        rf'(?:(?<=[;"])|(?<=; ))\s*{_WORD}\s*=\s*([^;"¶\n\\]+?)\s*(?=;|")',  # connection string
-        rf'(?:(?<=¶)|(?<=\n)|(?<=\r)|(?<=\\n)|(?<=\\r))[ \t]*{_NAME}[ \t]*[=:][ \t]*([^¶\n\r\\"]+?)[ \t]*(?=¶|[\n\r"]|\\[nr])',  # configuration line
-        rf'[?&]{_NAME}=([^&"\'\s#]+)',
-        rf'\bexport\s+{_NAME}=([^\s"\'$&;(]+)',
-        rf'(?<=")\s*{_NAME}=([^\s"\'&;]+)(?=")',
-        rf"\b{_NAME}\s*=\s*'([^'\"<>]+)'",
-        r"\bidentified\s+by\s+'([^'\"]+)'",
-        r"\bpassword\s+'([^'\"]+)'",
-        rf'\\"{_NAME}\\"\s*:\s*\\"((?:[^"\\]|\\(?!"))+)\\"',
-        rf'(?<!\\)"{_NAME}"\s*:\s*"((?:[^"\\]|\\.)+)"',
-        r"\bauthorization:\s*(?:bearer|basic|token|digest|apikey)\s+([^\s\"'\\¶]+)",
-        r"(?<![\w-])(?!authorization)[\w-]*(?:key|token|secret|auth)[\w-]*:[ \t]+(?!bearer|basic)([^\s\"'\\¶;]+)(?=[\"'\\¶\s])",
-        r'(?<![\w-])(?:-u|--user)[ =]+[^\s:"]+:([^"]+?)(?=\s+-|\s*"|\\"|$)',
-        r'[a-z][a-z0-9+.-]*://[^\s:/@"]+:([^\s"/]+)@[\w.-]+',
-        rf'\[\s*"{_NAME}"\s*;\s*"((?:[^"\\]|\\.)+)"\s*;\s*JSON\w*',
-        rf'[~$]\w*{_NAME}\s*=\s*"((?:[^"\\]|\\.)+)"',
-        rf'/\*\s*{_WORD}\s*\*/\s*"((?:[^"\\]|\\.)+)"',
-        rf'"((?:[^"\\]|\\.)+)"\s*\)*\s*//[ \t]*{_WORD}\b',
-        rf'//[^"\n\r]*?\b(?:{_WORD}|login)\s+(?:is|was|ist|lautet|est|es|era|works with|mit)\s+([^\s"\]]+)',
-        r'\bHash\.HMAC"\s*;\s*"[^"]*"\s*;\s*"((?:[^"\\]|\\.)+)"',
-        r'\bCrypt(?:En|De)crypt(?:Base64)?\s*\([^;"]*;\s*"((?:[^"\\]|\\.)+)"',
-        r'\bCryptAuthCode\s*\([^;"]*;[^;]*;\s*"((?:[^"\\]|\\.)+)"',
+    (needles, re.compile(p, _I))
+    for needles, p in (
+        (("=",), rf'(?:(?<=[;"])|(?<=; ))\s*{_WORD}\s*=\s*([^;"¶\n\\]+?)\s*(?=;|")'),  # connection string
+        (("¶", "\n", "\r", "\\n", "\\r"), rf'(?:(?<=¶)|(?<=\n)|(?<=\r)|(?<=\\n)|(?<=\\r))[ \t]*{_NAME}[ \t]*[=:][ \t]*([^¶\n\r\\"]+?)[ \t]*(?=¶|[\n\r"]|\\[nr])'),  # configuration line
+        (("?", "&"), rf'[?&]{_NAME}=([^&"\'\s#]+)'),
+        (("export",), rf'\bexport\s+{_NAME}=([^\s"\'$&;(]+)'),
+        (("=",), rf'(?<=")\s*{_NAME}=([^\s"\'&;]+)(?=")'),
+        (("='", "= '"), rf"\b{_NAME}\s*=\s*'([^'\"<>]+)'"),
+        (("identified",), r"\bidentified\s+by\s+'([^'\"]+)'"),
+        (("password '",), r"\bpassword\s+'([^'\"]+)'"),
+        (('\\"',), rf'\\"{_NAME}\\"\s*:\s*\\"((?:[^"\\]|\\(?!"))+)\\"'),
+        (('":', '" :'), rf'(?<!\\)"{_NAME}"\s*:\s*"((?:[^"\\]|\\.)+)"'),
+        (("authorization:",), r"\bauthorization:\s*(?:bearer|basic|token|digest|apikey)\s+([^\s\"'\\¶]+)"),
+        ((": ", ":\t"), r"(?<![\w-])(?!authorization)[\w-]*(?:key|token|secret|auth)[\w-]*:[ \t]+(?!bearer|basic)([^\s\"'\\¶;]+)(?=[\"'\\¶\s])"),
+        (("-u", "--user"), r'(?<![\w-])(?:-u|--user)[ =]+[^\s:"]+:([^"]+?)(?=\s+-|\s*"|\\"|$)'),
+        (("://",), r'[a-z][a-z0-9+.-]*://[^\s:/@"]+:([^\s"/]+)@[\w.-]+'),
+        (("json",), rf'\[\s*"{_NAME}"\s*;\s*"((?:[^"\\]|\\.)+)"\s*;\s*JSON\w*'),
+        (("~", "$"), rf'[~$]\w*{_NAME}\s*=\s*"((?:[^"\\]|\\.)+)"'),
+        (("/*",), rf'/\*\s*{_WORD}\s*\*/\s*"((?:[^"\\]|\\.)+)"'),
+        (("//",), rf'"((?:[^"\\]|\\.)+)"\s*\)*\s*//[ \t]*{_WORD}\b'),
+        (("//",), rf'//[^"\n\r]*?\b(?:{_WORD}|login)\s+(?:is|was|ist|lautet|est|es|era|works with|mit)\s+([^\s"\]]+)'),
+        (("hash.hmac",), r'\bHash\.HMAC"\s*;\s*"[^"]*"\s*;\s*"((?:[^"\\]|\\.)+)"'),
+        (("cryptencrypt", "cryptdecrypt"), r'\bCrypt(?:En|De)crypt(?:Base64)?\s*\([^;"]*;\s*"((?:[^"\\]|\\.)+)"'),
+        (("cryptauthcode",), r'\bCryptAuthCode\s*\([^;"]*;[^;]*;\s*"((?:[^"\\]|\\.)+)"'),
     )
 )
 
+#: One of these stands in every text that a pattern above can match, except for the prefixed tokens.
+_TELLING = ("pass", "pwd", "pw", "kennwort", "mdp", "mot de", "contrase", "clave", "パスワ", "secret", "token", "credential", "key", "sig", "auth", "://", "-u", "identified", "login", "crypt", "hmac")
+
 _LITERAL = r'"(?:[^"\\]|\\.)*"'
 _CHAIN = re.compile(rf"{_LITERAL}(?:\s*&\s*{_LITERAL})+")
 _PARTS = re.compile(r'"((?:[^"\\]|\\.)*)"')
@@ -87,9 +94,6 @@ _PASSWORD_STEP = re.compile(r"\bPassword:\s*(.*?)\s*\]\s*$", re.S)
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", _I)
 _HEX = re.compile(r"[0-9a-f]{32,}", _I)
 
-#: Cheap test whether a text can hold any of the above.
-_TRIGGER = re.compile(rf'{_WORD}|key|sig=|auth|PRIVATE KEY|eyJ|AKIA|ASIA|[srp]k_|gh[pousr]_|glpat|xox|://|-u |--user|identified|login|crypt|hmac|"\s*&\s*"|"[A-Za-z0-9+/_-]{{16,}}={{0,2}}"|[0-9a-f]{{8}}-[0-9a-f]{{8}}', _I)
-
 #: Stand-ins that are no credential.
 _PLACEHOLDER = re.compile(
     r"[•●*·.xX#_\-…\s]*|<.*>|\[.*\]|\{+.*\}+|\$.*|%\w+%|your[ _-].*|.*…|(?:the|old|new|my)|"
@@ -135,32 +139,36 @@ def _strong(x: str) -> bool:
     return not re.search(r"::|\(|^\$|\s", x) and x.find("$") > 0
 
 
+def _self_evident(text: str, low: str) -> Iterator[tuple[str, str]]:
+    for kind, needles, p in _SELF:
+        if any(n in low for n in needles):
+            for v in p.findall(text):
+                yield v, kind
+
+
 def literals(text: str, password: bool = False) -> list[tuple[str, str]]:
     """(value, kind) of everything in the text that may be a credential; ``password`` if the whole field is one."""
     if not text:
         return []
     found: dict[str, str] = {}
     add = lambda v, kind: found.setdefault(v, kind) if not _placeholder(v) else None
+    low = text.lower()
+    for v, kind in _self_evident(text, low):
+        add(v, kind)
     if password:
-        for kind, p in _SELF:
-            for v in p.findall(text):
-                add(v, kind)
         for v in expression(text):
             add(v, NAMED)
         return list(found.items())
-    if not _TRIGGER.search(text):
-        return []
-    for kind, p in _SELF:
-        for v in p.findall(text):
-            add(v, kind)
-    for p in _PLACED:
-        for v in p.findall(text):
-            if not ("::" in v and _REFERENCE.search(v)) and '" &' not in v:
-                add(v, NAMED)
-    if (m := _PASSWORD_STEP.search(text)) is not None and "Send Mail" in text:
+    if any(n in low for n in _TELLING):
+        for needles, p in _PLACED:
+            if any(n in low for n in needles):
+                for v in p.findall(text):
+                    if not ("::" in v and _REFERENCE.search(v)) and '" &' not in v:
+                        add(v, NAMED)
+    if "send mail" in low and (m := _PASSWORD_STEP.search(text)) is not None:
         for v in expression(m[1]):
             add(v, NAMED)
-    for chain in _CHAIN.findall(text):
+    for chain in _CHAIN.findall(text) if "&" in text else ():
         parts = _PARTS.findall(chain)
         if all(re.fullmatch(r"[A-Za-z0-9+/=_-]{4,}", p) for p in parts) and _turns("".join(parts)) >= 5:
             for v in parts:
@@ -266,20 +274,34 @@ def confirmed(index: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
     return index.where(F.col("owners") < shared)
 
 
+_built: dict[str, object] = {}
+
+
+def _automaton(name: str, values: list[str]) -> object:
+    """The automaton of a block; a Python worker keeps the last one for its next task."""
+    if name not in _built:
+        import ahocorasick
+
+        _built.clear()
+        a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for v in values:
+            a.add_word(v)
+        if values:
+            a.make_automaton()
+        _built[name] = a
+    return _built[name]
+
+
 def _scan(texts: DataFrame, values: list[str], suppressed: list[str], first: bool) -> DataFrame:
     """(tab, rec_id, field, secret): the block's values by automaton; in the first scan also what a pattern recognises anywhere."""
     sc = texts.sparkSession.sparkContext
     block = sc.broadcast((values, frozenset(suppressed)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+    name = uuid.uuid4().hex
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, shared = block.value
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for v in listed:
-            automaton.add_word(v)
-        if listed:
-            automaton.make_automaton()
+        automaton = _automaton(name, listed)
 
         def find(text: str) -> set[str]:
             out: set[str] = set()
@@ -287,8 +309,8 @@ def _scan(texts: DataFrame, values: list[str], suppressed: list[str], first: boo
                 for last, n in automaton.iter(text):
                     if _whole(text, last + 1 - n, last + 1) and not _wording(text, last + 1 - n, last + 1):
                         out.add(text[last + 1 - n : last + 1])
-            if first and _TRIGGER.search(text):
-                out |= {v for _, p in _SELF for v in p.findall(text) if v not in shared and not _placeholder(v)}
+            if first:
+                out |= {v for v, _ in _self_evident(text, text.lower()) if v not in shared and not _placeholder(v)}
             if len(out) > 1:  # a value within a longer one is not one of its own, unless it also stands alone
                 out = {v for v in out if not any(v != w and v in w for w in out) or _alone(text, v, out)}
             return out
