@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,9 +140,34 @@ def _strong(x: str) -> bool:
     return not re.search(r"::|\(|^\$|\s", x) and x.find("$") > 0
 
 
-def _self_evident(text: str, low: str) -> Iterator[tuple[str, str]]:
-    for kind, needles, p in _SELF:
-        if any(n in low for n in needles):
+def _needles() -> ahocorasick.Automaton:
+    """Finds in one pass which patterns a text can match: bit i for pattern i of ``_SELF``, the next bit for a telling word."""
+    bits: dict[str, int] = {}
+    for i, (_, needles, _) in enumerate(_SELF):
+        for n in needles:
+            bits[n] = bits.get(n, 0) | 1 << i
+    for n in _TELLING:
+        bits[n] = bits.get(n, 0) | 1 << len(_SELF)
+    a = ahocorasick.Automaton()
+    for n, b in bits.items():
+        a.add_word(n, b)
+    a.make_automaton()
+    return a
+
+
+_NEEDLES = _needles()
+
+
+def _signs(low: str) -> int:
+    out = 0
+    for _, bit in _NEEDLES.iter(low):
+        out |= bit
+    return out
+
+
+def _self_evident(text: str, signs: int) -> Iterator[tuple[str, str]]:
+    for i, (kind, _, p) in enumerate(_SELF):
+        if signs >> i & 1:
             for v in p.findall(text):
                 yield v, kind
 
@@ -153,13 +179,14 @@ def literals(text: str, password: bool = False) -> list[tuple[str, str]]:
     found: dict[str, str] = {}
     add = lambda v, kind: found.setdefault(v, kind) if not _placeholder(v) else None
     low = text.lower()
-    for v, kind in _self_evident(text, low):
+    signs = _signs(low)
+    for v, kind in _self_evident(text, signs) if signs else ():
         add(v, kind)
     if password:
         for v in expression(text):
             add(v, NAMED)
         return list(found.items())
-    if any(n in low for n in _TELLING):
+    if signs >> len(_SELF) & 1:
         for needles, p in _PLACED:
             if any(n in low for n in needles):
                 for v in p.findall(text):
@@ -280,8 +307,6 @@ _built: dict[str, object] = {}
 def _automaton(name: str, values: list[str]) -> object:
     """The automaton of a block; a Python worker keeps the last one for its next task."""
     if name not in _built:
-        import ahocorasick
-
         _built.clear()
         a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for v in values:
@@ -310,7 +335,7 @@ def _scan(texts: DataFrame, values: list[str], suppressed: list[str], first: boo
                     if _whole(text, last + 1 - n, last + 1) and not _wording(text, last + 1 - n, last + 1):
                         out.add(text[last + 1 - n : last + 1])
             if first:
-                out |= {v for v, _ in _self_evident(text, text.lower()) if v not in shared and not _placeholder(v)}
+                out |= {v for v, _ in _self_evident(text, _signs(text.lower())) if v not in shared and not _placeholder(v)}
             if len(out) > 1:  # a value within a longer one is not one of its own, unless it also stands alone
                 out = {v for v in out if not any(v != w and v in w for w in out) or _alone(text, v, out)}
             return out
