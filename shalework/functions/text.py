@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -91,17 +92,28 @@ def short_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 8)
 
 
+@F.pandas_udf(T.StringType())
+def _wide_slug(s: pd.Series, limit: pd.Series, max_bytes: pd.Series) -> pd.Series:
+    def one(x: object, n: int, size: int) -> object:
+        if x is None:
+            return None
+        t = re.sub(r"[^\w.-]+", "_", unicodedata.normalize("NFC", x).strip()).strip("._")[:n]
+        kept = t.encode()[:size].decode(errors="ignore")  # a cut character is dropped as a whole
+        return kept.strip("._") or "unnamed"
+
+    return pd.Series([one(*x) for x in zip(s, limit, max_bytes)], dtype=object)
+
+
 def slug(c: Column, limit: int = 60, max_bytes: int = 200) -> Column:
     """A name safe for a path: composed, other characters than letters, digits, ``_.-`` as one underscore, no outer dots
-    or underscores, at most ``limit`` characters and ``max_bytes`` bytes; ``unnamed`` if nothing is left."""
-    x = F.regexp_replace(strip(nfc(c)), r"(?U)[^\w.-]+", "_")
-    x = F.substring(F.btrim(x, F.lit("._")), 1, limit)
-    size = F.octet_length(x)
-    # cut on a character boundary: the longest prefix within the byte limit
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda n: F.octet_length(F.substring(x, F.lit(1), n)) <= max_bytes)
-    x = F.when(size <= max_bytes, x).otherwise(F.substring(x, F.lit(1), F.array_max(fits)))
+    or underscores, at most ``limit`` characters and ``max_bytes`` bytes; ``unnamed`` if nothing is left.
+
+    ASCII names, whose bytes are their characters, stay in the JVM."""
+    odd = c.rlike(r"[^\x00-\x7f]")
+    x = F.substring(F.btrim(F.regexp_replace(strip(c), r"[^\w.-]+", "_"), F.lit("._")), 1, min(limit, max_bytes))
     x = F.btrim(x, F.lit("._"))
-    return F.when(c.isNull(), F.lit(None)).when(x == "", "unnamed").otherwise(x)
+    plain = F.when(c.isNull(), F.lit(None)).when(x == "", "unnamed").otherwise(x)
+    return F.when(odd, _wide_slug(F.when(odd, c), F.lit(limit), F.lit(max_bytes))).otherwise(plain)
 
 
 def css_props(c: Column) -> Column:
