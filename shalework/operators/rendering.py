@@ -356,7 +356,7 @@ def objects(nodes: DataFrame) -> DataFrame:
 
     An occurrence's text also holds the relationships it takes part in; one with itself stands there twice, once a side."""
     it = items(nodes)
-    files = folder_names(nodes.where((F.col("tag") == "File") & (F.col("depth") == 1)).select(F.coalesce(attr("name"), F.lit("")).alias("file")))
+    files = folder_names(nodes.where((F.col("tag") == "File") & (F.col("depth") == 1)).select("file"))
     tos = S.base_tables(nodes)
     t = E.tables(nodes).select(F.col("file").alias("_tf"), F.col("id").alias("_ti"), F.col("name").alias("_tn")).dropDuplicates(["_tf", "_ti"])
     base = tos.join(t, (F.col("base_file") == F.col("_tf")) & (F.col("base_table_id") == F.col("_ti")), "left").join(files.withColumnsRenamed({"file": "_ff", "folder": "_fold"}), F.col("base_file") == F.col("_ff"), "left")

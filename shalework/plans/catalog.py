@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shalework.plans import general
+from shalework.plans import general, reports, survey
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**general.QUERIES, **survey.QUERIES, **reports.QUERIES}
+SQL = {**general.SQL, **survey.SQL}
