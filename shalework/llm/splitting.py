@@ -37,9 +37,9 @@ STRENGTHS = ("character", "word", "space", "clause", "sentence", "line", "headin
 _PATTERNS: tuple[tuple[int, re.Pattern], ...] = (
     (1, re.compile(f"(?<=[{_LETTER}])(?=[、。，．（「！？])|(?<=[。、！？」）])(?=[{_LETTER}0-9])")),
     (2, re.compile(r"(?<=[^\s'])(?=[ \t])")),
-    (3, re.compile(r"(?<=[;,:)\]}])(?=[ \t])|(?<=[、，])(?=[^\s、。，．「」（）！？])")),
-    (4, re.compile(r"(?<=[.!?])(?=[ \t])|(?<=[。！？])(?=[^\s、。，．「」（）！？])")),
-    (5, re.compile(r"(?<=[^\s'])(?=[ \t]*[\r\n])|(?<=[^\s'])(?= ?¶)")),
+    (3, re.compile(rf"(?<=[;,:)\]}}])(?=[ \t])|(?<=[、，])(?=[{_LETTER}0-9])")),
+    (4, re.compile(rf"(?<=[.!?])(?=[ \t])|(?<=[。！？])(?=[{_LETTER}0-9])")),
+    (5, re.compile(rf"(?<=[^\s'])(?=[ \t]*[\r\n])|(?<=[^\s'])(?= ¶)|(?<=[{_LETTER}0-9])(?=¶)")),
     (6, re.compile(r"(?<=[^\s'])(?=[ \t]*(?:\r\n|\r|\n)[ \t]*(?:#|```|\* \* \*|---))")),
     (7, re.compile(r"(?<=[^\s'])(?=[ \t]*(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n))")),
 )
