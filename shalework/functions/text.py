@@ -166,8 +166,8 @@ def snake(c: Column) -> Column:
 #: text. The string branch is unrolled, since a repeated alternation overflows the regex stack on long literals.
 NOT_CODE = r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"?|“[^”]*”?|//[^\n\r]*|/\*[\s\S]*?(?:\*/|\z)'
 
-#: A reference that no longer has a target, as it is printed in a calculation.
-MARKER = r"(?U)(?:[\w .]+::)?<(?:\p{Lu}\w* Missing|unknown)>"
+#: Fixed value: how a reference without a target is printed in a calculation, its occurrence in front where one is shown.
+MARKER = r'(?:[^\s:()"<>;,]+::)?<(?:[A-Z][a-z]+ Missing|unknown)>'
 
 
 def live_code(c: Column) -> Column:
