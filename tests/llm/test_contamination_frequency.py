@@ -76,7 +76,7 @@ def test_code_frequencies(spark, bound, monkeypatch):
     rnd = random.Random(4)
     rows = []
     for i in range(200):
-        code = lambda: rnd.choice([None, "", "  ", "0", " 0\t", "07", "7", str(rnd.randint(0, 30)), "　x"])
+        code = lambda: rnd.choice([None, "", "  ", "0", " 0\t", "07", "7", str(rnd.randint(0, 30)), "\u3000x"])
         for k in range(rnd.choice([1, 1, 2])):
             rows.append((i, code(), code(), code(), rnd.choice([None, [], ["1", " 1", None, ""], ["2", "2", "3"]]), rnd.choice([None, at(k)]), "f", "t", 1))
     rows += rows[:10] + [(None, "9", None, None, None, at(1), "", "", 0)]

@@ -11,8 +11,8 @@ from shalework.llm import queries, splitting, tokens
 public = pytest.importorskip("public_tokenizers")
 ENC = tokens.encoder()
 
-ODD = ["", " ", "\n\n\n", "'", "''''ll're 's", "a" * 5000, " " * 3000, "日本語" * 900, "x'll " * 500, "é́" * 700, "🎉👩‍👩‍👧" * 300, "<|endoftext|> a", "\x00\x07�​﻿", "a1b2c3" * 600, "\r\n\t \r" * 400, "ß¶…" * 300]
-PIECES = st.sampled_from(["a", "'", "'s", "'ll", " ", "  ", "\n", "1", "23", "。", "、", "語", "ア", "é", "!", "--", "🎉", " ", "ſ", "Ⅷ", "́", "x" * 30])
+ODD = ["", " ", "\n\n\n", "'", "''''ll're 's", "a" * 5000, " " * 3000, "日本語" * 900, "x'll " * 500, "é́" * 700, "🎉👩\u200d👩\u200d👧" * 300, "<|endoftext|> a", "\x00\x07�\u200b\ufeff", "a1b2c3" * 600, "\r\n\t \r" * 400, "ß¶…" * 300]
+PIECES = st.sampled_from(["a", "'", "'s", "'ll", " ", "  ", "\n", "1", "23", "。", "、", "語", "ア", "é", "!", "--", "🎉", "\u00a0", "ſ", "Ⅷ", "́", "x" * 30])
 
 
 @settings(max_examples=400, deadline=None)
