@@ -309,7 +309,7 @@ def v3_stale(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')")
 def v7_odd_breaks(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike(r"[\r\x0b\x0c\x1c-\x1e\x85  ]")).select("doc_id")
+    return table(spark, d, "documents").where(F.col("text").rlike(r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).select("doc_id")
 
 
 # --- explorer questions (P19, Q) ----------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ class ContractError(ValueError):
 
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     first = spark.read.option("wholetext", "false").text(path).limit(1).collect()
-    return first[0][0].lstrip("﻿").rstrip("\r").split(sep) if first else []
+    return first[0][0].lstrip("\ufeff").rstrip("\r").split(sep) if first else []
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +53,7 @@ def read_classifications(spark: SparkSession, root: str) -> DataFrame:
     The header of each file is checked by itself, since a read over all files would mix their columns."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root).select("value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
     heads = lines.groupBy("f").agg(F.min_by("value", "i").alias("h"))
-    cols = F.transform(F.split(F.regexp_replace("h", '[\r"﻿]', ""), ","), F.trim)
+    cols = F.transform(F.split(F.regexp_replace("h", '[\r"\ufeff]', ""), ","), F.trim)
     bad = heads.where(~(F.array_contains(cols, "source_id") & F.array_contains(cols, "source_hash"))).limit(1).collect()
     if bad:
         raise ContractError(f"{bad[0]['f']} lacks required columns: source_id, source_hash")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 #: Characters that XML 1.0 does not allow in a document.
-FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
+FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
 
 
 class TreeError(ValueError):
@@ -16,7 +16,7 @@ class TreeError(ValueError):
 
 def clean_xml(text: str) -> str:
     """Without forbidden characters, and without white space and byte order marks in front."""
-    return FORBIDDEN.sub("", text).lstrip("﻿ \t\r\n\x85\xa0 　")
+    return FORBIDDEN.sub("", text).lstrip("\ufeff \t\r\n\x85\xa0\u2028\u3000")
 
 
 def walk(text: str, with_text: bool = False) -> Iterator[tuple]:

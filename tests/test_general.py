@@ -159,7 +159,7 @@ def test_records_equal_a_tree_walk(spark, sf):
     assert sorted(got) == sorted(want) and len(got) > 100
 
 
-BODY = """﻿ \n<?xml version="1.0" encoding="UTF-16"?><FMPReport type="Report"><File name="a"><LayoutCatalog><Group><Layout id="1" name="x">
+BODY = """\ufeff \n<?xml version="1.0" encoding="UTF-16"?><FMPReport type="Report"><File name="a"><LayoutCatalog><Group><Layout id="1" name="x">
 <Object key="1"><Object key="2"><ButtonObj><Step id="1"/></ButtonObj></Object><Object key="3"/></Object></Layout><Layout name="-"><Object key="9"/></Layout></Group></LayoutCatalog>
 <ScriptCatalog><Script id="1" name="s"><StepList><Step id="5"><Script id="2" name="called"/></Step></StepList></Script><Script name="-"/></ScriptCatalog></File></FMPReport>"""
 
