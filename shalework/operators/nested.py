@@ -39,6 +39,9 @@ RECORDS: dict[str, tuple[str, ...] | None] = {
     "Step": None,
 }
 
+#: Reports up to this many are told apart by a broadcast of their ids and times.
+BROADCAST_ROWS = 200_000
+
 RESULT = "report_id long, entity string, rec_no int, parent_no int"
 WIDE = RESULT + ", path string, attrs map<string,string>"
 
@@ -161,8 +164,10 @@ def latest(reports: DataFrame) -> DataFrame:
     """One row per report: bodies are moved only for reports that were delivered more than once."""
     last = F.struct(F.coalesce("received_at", F.lit("0001-01-01").cast("timestamp_ntz")), F.coalesce(F.length("body"), F.lit(-1)), F.coalesce(F.xxhash64("body"), F.lit(0)))
     once = reports.where(F.col("report_id").isNotNull()).select("report_id", "body", last.alias("_last"))
-    best = once.groupBy("report_id").agg(F.max("_last").alias("_best"))
-    kept = once.join(best.withColumnRenamed("report_id", "_id"), (F.col("report_id") == F.col("_id")) & (F.col("_last") == F.col("_best")), "left_semi")
+    best = once.groupBy("report_id").agg(F.max("_last").alias("_best")).withColumnRenamed("report_id", "_id")
+    if best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        best = F.broadcast(best)  # bodies stay where they are
+    kept = once.join(best, (F.col("report_id") == F.col("_id")) & (F.col("_last") == F.col("_best")), "left_semi")
     return kept.select("report_id", "body").dropDuplicates(["report_id"])
 
 
