@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +46,12 @@ def write_index(objects: DataFrame, path: str) -> None:
     index_order(objects).select(*flat).coalesce(1).write.mode("errorifexists").option("sep", "\t").option("header", "true").option("quote", "").option("emptyValue", "").csv(path)
 
 
+def write_unresolved(rows: DataFrame, path: str) -> None:
+    """(path, tag, id, name, status) in the order of the documents; line breaks as pilcrows, tabs as blanks."""
+    flat = [F.translate(one_line(F.col(c.split(" ")[0])), "\t", " ").alias(c.split(" ")[0]) for c in UNRESOLVED.split(", ")]
+    rows.orderBy("doc", "pre", "tag").select(*flat).coalesce(1).write.mode("errorifexists").option("sep", "\t").option("header", "true").option("quote", "").option("emptyValue", "").csv(path)
+
+
 def index_order(objects: DataFrame) -> DataFrame:
     """File, kind, then id as a number (0 for what is none); ties keep the order of ``emit_seq`` where there is one."""
     number = F.when(F.col("id").rlike(r"^[0-9]+$"), F.col("id").cast("decimal(38,0)")).otherwise(F.lit(0))
@@ -47,30 +59,46 @@ def index_order(objects: DataFrame) -> DataFrame:
     return objects.orderBy("file", "kind", number, *tie)
 
 
+def _csv_files(root: str) -> list[tuple[str, str]]:
+    """(path, path below root) of every CSV below ``root``, sorted; works on any file system Arrow knows."""
+    system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    found = system.get_file_info(fs.FileSelector(base, recursive=True))
+    scheme = root[: len(root) - len(base)] if "://" in root else ""
+    return sorted((scheme + f.path, f.path[len(base.rstrip("/")) + 1 :]) for f in found if f.is_file and f.path.endswith(".csv"))
+
+
 def read_classifications(spark: SparkSession, root: str) -> DataFrame:
     """Every row of every CSV below ``root`` -> (source_id, source_hash, output_file); quoted by RFC 4180.
 
-    The header of each file is checked by itself, since a read over all files would mix their columns."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root).select("value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
-    heads = lines.groupBy("f").agg(F.min_by("value", "i").alias("h"))
-    cols = F.transform(F.split(F.regexp_replace("h", '[\r"\ufeff]', ""), ","), F.trim)
-    bad = heads.where(~(F.array_contains(cols, "source_id") & F.array_contains(cols, "source_hash"))).limit(1).collect()
-    if bad:
-        raise ContractError(f"{bad[0]['f']} lacks required columns: source_id, source_hash")
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').option("enforceSchema", "false")
-    groups = heads.select("f", "h").toLocalIterator()
-    by_head: dict[str, list[str]] = {}
-    for r in groups:  # one read for each distinct header
-        by_head.setdefault(r["h"], []).append(r["f"])
-    out = None
-    for files in by_head.values():
-        one = read.csv(files).select("source_id", "source_hash", F.input_file_name().alias("f"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    Batches of a file's root folder are named ``_root-...``, and Spark's own readers skip names that begin with an underscore; so
+    the executors read the files themselves. Each file's header is checked, since a read over all would mix their columns."""
+    files = _csv_files(root)
+    if not files:
         return spark.createDataFrame([], "source_id string, source_hash string, output_file string")
-    prefix = root.rstrip("/") + "/"
-    at = F.instr("f", prefix) + len(prefix)
-    return out.select("source_id", "source_hash", F.url_decode(F.substring(F.col("f"), at, F.length("f"))).alias("output_file"))
+    paths = spark.createDataFrame(files, "path string, output_file string").repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism))
+
+    def rows(path: str) -> Iterator[dict]:
+        system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        with system.open_input_stream(at) as raw, io.TextIOWrapper(raw, encoding="utf-8-sig", newline="") as text:
+            reader = csv.DictReader(text)
+            yield {"": set(reader.fieldnames or ())}
+            yield from reader
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = [p for p in b.column(0).to_pylist() if not {"source_id", "source_hash"} <= next(rows(p))[""]]
+            yield pa.record_batch([pa.array(bad, pa.string())], ["path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = list(rows(path))[1:]
+                yield pa.record_batch([pa.array([r[c] for r in got], pa.string()) for c in ("source_id", "source_hash")] + [pa.array([name] * len(got), pa.string())], ["source_id", "source_hash", "output_file"])
+
+    bad = paths.mapInArrow(heads, "path string").orderBy("path").limit(1).collect()
+    if bad:
+        raise ContractError(f"{bad[0]['path']} lacks required columns: source_id, source_hash")
+    return paths.mapInArrow(read, "source_id string, source_hash string, output_file string")
 
 
 def write_catalog(catalog: DataFrame, meta: dict, path: str, force: bool = False) -> str:
