@@ -124,14 +124,15 @@ def encode_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, folder)
         for b in batches:
-            parts, sizes, done = [], [], 0
+            parts, sizes, done, held = [], [], 0, 0
             for i, text in enumerate(b.column(1)):
                 ids = enc.encode(text.as_py())
                 parts.append(np.asarray(ids, np.int32))
                 sizes.append(len(ids))
-                if sum(sizes) > 1_000_000:
+                held += len(ids)
+                if held > 1_000_000:
                     yield _lists(b.column(0).slice(done, i + 1 - done), parts, sizes, id_col)
-                    parts, sizes, done = [], [], i + 1
+                    parts, sizes, done, held = [], [], i + 1, 0
             if sizes:
                 yield _lists(b.column(0).slice(done), parts, sizes, id_col)
 
