@@ -522,3 +522,108 @@ def d7_totals(spark, d):
 FROM {_IDX(5)} a FULL JOIN {_IDX(6)} b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.name IS DISTINCT FROM b.name OR a.lines IS DISTINCT FROM b.lines""")
 def d8_changed_rows(spark, d):
     return profile.changed_rows(_index(spark, d, 5), _index(spark, d, 6), ["path"], ["name", "lines"])
+
+
+# --- more of the projections, joins and questions -----------------------------------------------------------------
+
+
+@query("SELECT step_uid, CAST(row_number() OVER (PARTITION BY file, script_id ORDER BY step_line, step_uid) AS INT) AS line FROM (SELECT DISTINCT step_uid, file, script_id, step_line FROM steps)")
+def p19_step_numbers(spark, d):
+    s = table(spark, d, "steps").select("step_uid", "file", "script_id", "step_line").distinct()
+    return s.select("step_uid", F.row_number().over(Window.partitionBy("file", "script_id").orderBy("step_line", "step_uid")).alias("line"))
+
+
+@query("SELECT file, id, max(CASE WHEN name = '-' THEN 1 ELSE 0 END) AS dash, max(CASE WHEN name = '-' AND id NOT IN (SELECT script_id FROM steps s WHERE s.file = scripts.file) THEN 1 ELSE 0 END) AS separator FROM scripts GROUP BY file, id")
+def p28_separators(spark, d):
+    has = table(spark, d, "steps").select("file", F.col("script_id").alias("id")).distinct().withColumn("has", F.lit(True))
+    s = table(spark, d, "scripts").join(has, ["file", "id"], "left")
+    dash = F.coalesce(F.col("name") == "-", F.lit(False))
+    return s.groupBy("file", "id").agg(F.max(dash.cast("int")).alias("dash"), F.max((dash & F.col("has").isNull()).cast("int")).alias("separator"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'globals' WHEN p_type LIKE '%BRASS' THEN 'summary' WHEN p_type LIKE 'SMALL%' THEN 'calculated' ELSE 'fields' END AS bucket FROM part WHERE NOT (p_name LIKE 'a%' AND p_name LIKE '%e')")
+def p8_field_buckets(spark, d):
+    p = table(spark, d, "part").where(~(F.startswith("p_name", F.lit("a")) & F.endswith("p_name", F.lit("e"))))
+    bucket = F.when(F.col("p_size") > 40, "globals").when(F.col("p_type").like("%BRASS"), "summary").when(F.col("p_type").like("SMALL%"), "calculated").otherwise("fields")
+    return p.select("p_partkey", bucket.alias("bucket"))
+
+
+@query("SELECT DISTINCT obj_id, CASE trim(display_type) WHEN '0' THEN 'edit box' WHEN '1' THEN 'drop-down list' WHEN '2' THEN 'pop-up menu' WHEN '3' THEN 'checkbox set' WHEN '4' THEN 'radio button set' WHEN '6' THEN 'drop-down calendar' ELSE trim(display_type) END AS shown, (TRY_CAST(trim(flags) AS BIGINT) & 4) > 0 AS bit_4 FROM layout_objects WHERE display_type IS NOT NULL")
+def p31_codes(spark, d):
+    from shalework.operators.rendering import DISPLAY_TYPES
+
+    names = F.create_map(*(F.lit(x) for kv in DISPLAY_TYPES.items() for x in kv))
+    code = F.trim("display_type")
+    return table(spark, d, "layout_objects").where("display_type is not null").select("obj_id", F.coalesce(names[code], code).alias("shown"), (F.trim("flags").try_cast("bigint").bitwiseAND(F.lit(4)) > 0).alias("bit_4")).distinct()
+
+
+@query("SELECT key, count(*) AS n FROM (SELECT 'part' || l_partkey AS key FROM lineitem UNION ALL SELECT 'supp' || l_suppkey FROM lineitem) GROUP BY key")
+def j13_both_sides(spark, d):
+    ends = F.array(F.concat(F.lit("part"), "l_partkey"), F.concat(F.lit("supp"), "l_suppkey"))
+    return table(spark, d, "lineitem").select(F.explode(ends).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT file, name, arg_min(id, struct_pack(a := loaded_at, b := id)) AS id FROM data_sources WHERE name <> '' GROUP BY file, name")
+def j14_source_by_name(spark, d):
+    return table(spark, d, "data_sources").where("name <> ''").groupBy("file", "name").agg(F.min_by("id", F.struct("loaded_at", "id")).alias("id"))
+
+
+@query(_COV.replace("WITH e AS (SELECT path AS id, lower(trim(sha256)) AS h, file || '/' || kind AS f FROM", "WITH e AS (SELECT path AS id, lower(trim(sha256)) AS h, file || '/' || kind AS f FROM").replace(f"FROM {_IDX(5)} x)", f"FROM {_IDX(5)} x WHERE kind = 'scripts')").replace("WHERE snapshot_no = 6)", "WHERE snapshot_no = 6 AND kind = 'scripts' AND file || '/' || kind IN (SELECT f FROM e))"))
+def j18_share_coverage(spark, d):
+    h = F.lower(F.trim("sha256")).alias("source_hash")
+    e = _index(spark, d, 5).select(F.col("path").alias("source_id"), h, F.concat_ws("/", "file", "kind").alias("output_file"))
+    o = table(spark, d, "object_index").where("snapshot_no = 6").select(F.translate("path", "\\", "/").alias("source_id"), h, F.concat_ws("/", "file", "kind").alias("output_file"))
+    return contract.coverage(e, o, e.where("output_file like '%/scripts'").select("output_file"))
+
+
+@query(f"SELECT kind, file, count(*) AS objects, CAST(sum(coalesce(lines, 0)) AS BIGINT) AS lines FROM {_IDX(6)} x GROUP BY kind, file")
+def a4_batch_sums(spark, d):
+    rows = _index(spark, d, 6).select(F.concat_ws("|", "kind", "file").alias("output_file"), F.coalesce("lines", F.lit(0)).alias("lines"), F.lit(0).alias("ord"))
+    b = contract.batches_of(rows, "c")
+    return b.select(F.substring_index("output_file", "|", 1).alias("kind"), F.substring_index("output_file", "|", -1).alias("file"), "objects", "lines")
+
+
+@query("SELECT file, count(*) AS fields, count(*) FILTER (WHERE object_type = 'Field') AS regular, count(*) FILTER (WHERE button_flags IS NOT NULL) AS buttons, count(*) FILTER (WHERE len(cond_ops) > 0) AS conditions FROM (SELECT DISTINCT obj_id, file, object_type, button_flags, cond_ops FROM layout_objects) GROUP BY file")
+def q11_census(spark, d):
+    o = table(spark, d, "layout_objects").select("obj_id", "file", "object_type", "button_flags", "cond_ops").distinct()
+    return o.groupBy("file").agg(F.count("*").alias("fields"), F.count_if(F.col("object_type") == "Field").alias("regular"), F.count("button_flags").alias("buttons"), F.count_if(F.size("cond_ops") > 0).alias("conditions"))
+
+
+@query("SELECT file, kind, count(*) AS objects FROM (" + _CUR + ") WHERE snapshot_no = 6 AND kind NOT IN ('scripts', 'tables', 'layouts') GROUP BY file, kind")
+def q18_unclaimed(spark, d):
+    return graph.unclaimed_kinds(_index(spark, d, 6), ["scripts", "tables", "layouts"])
+
+
+@query("SELECT step_uid, found FROM (SELECT step_uid, name, last_value(CASE WHEN name IN ('Perform Find', 'Go to Related Record') THEN step_line END IGNORE NULLS) OVER (PARTITION BY file, script_id ORDER BY step_line, step_uid ROWS UNBOUNDED PRECEDING) AS found FROM (SELECT DISTINCT step_uid, file, script_id, step_line, name FROM steps)) WHERE name = 'Set Field'")
+def q23_found_set(spark, d):
+    s = table(spark, d, "steps").select("step_uid", "file", "script_id", "step_line", "name").distinct()
+    w = Window.partitionBy("file", "script_id").orderBy("step_line", "step_uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.last(F.when(F.col("name").isin(*graph.FINDS), F.col("step_line")), ignorenulls=True).over(w)
+    return s.withColumn("found", found).where("name = 'Set Field'").select("step_uid", "found")
+
+
+@query("SELECT DISTINCT obj_id, CASE WHEN TRY_CAST(trim(object_key) AS BIGINT) BETWEEN 1 AND 55295 THEN chr(CAST(trim(object_key) AS INT)) WHEN TRY_CAST(trim(object_key) AS BIGINT) BETWEEN 57344 AND 1114111 THEN chr(CAST(trim(object_key) AS INT)) ELSE '' END AS c FROM layout_objects WHERE regexp_matches(object_key, '^[0-9]{1,4}$')")
+def f8_characters(spark, d):
+    return table(spark, d, "layout_objects").where(F.col("object_key").rlike("^[0-9]{1,4}$")).select("obj_id", X.char_of(F.col("object_key")).alias("c")).distinct()
+
+
+@query("SELECT path, lines FROM (" + _CUR + ") WHERE snapshot_no = 6 AND lines IS NOT NULL ORDER BY lines DESC, path DESC LIMIT 1")
+def o3_largest(spark, d):
+    return _index(spark, d, 6).where("lines is not null").orderBy(F.desc("lines"), F.desc("path")).limit(1).select("path", "lines")
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def st_windowed_counts(spark, d):
+    """The events as a stream of one file, counted per day under a watermark, run to its end."""
+    import uuid
+
+    from shalework.session import shared_dir
+    from shalework.streaming.ingest import windowed_counts
+
+    name = f"windows_{uuid.uuid4().hex}"
+    whole = table(spark, d, "events")
+    stream = spark.readStream.schema(whole.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", None, "400 days", "event_type")
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
