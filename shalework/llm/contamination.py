@@ -123,7 +123,7 @@ def _corpus_counts(documents: DataFrame, text_col: str, keys: list, q: int, min_
             for text in b.column(0):
                 h = shingle_hashes(letters_and_digits(text.as_py()), q)
                 for f, c in zip(filters, counts):
-                    c += np.bincount(f.find(h)[1], minlength=len(c))
+                    np.add.at(c, f.find(h)[1], 1)
         for f, c in zip(filters, counts):
             some = c > 0
             yield pa.record_batch([pa.array(f.keys[some].view(np.int64)), pa.array(c[some])], ["h", "n"])
