@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shalework.functions.text import slug
 from shalework.sources.xml_text import FORBIDDEN, TreeError, clean_xml, walk
@@ -26,12 +28,22 @@ NODES = (
 EMIT = 20_000
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(content: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([bytes(b).decode(e, "replace") for b, e in zip(content, encoding)], dtype=object)
+
+
+def decoded(content: Column, encoding: str = "UTF-16") -> Column:
+    """Bytes as text; what is no character becomes a replacement character, so that one bad byte never stops a run."""
+    return _decoded(content, F.lit(encoding))
+
+
 def raw_documents(spark: SparkSession, path: str, encoding: str = "UTF-16") -> DataFrame:
     """(doc, bytes, text) of the XML files of a folder (not of its subfolders), or of one file; names in any letter case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
     if not path.lower().endswith(".xml"):
         files = files.option("pathGlobFilter", "*.[xX][mM][lL]")
-    return files.load(path).select(F.col("path").alias("doc"), F.col("length").alias("bytes"), F.decode("content", encoding).alias("text"))
+    return files.load(path).select(F.col("path").alias("doc"), F.col("length").alias("bytes"), decoded(F.col("content"), encoding).alias("text"))
 
 
 def dropped_characters(docs: DataFrame) -> DataFrame:

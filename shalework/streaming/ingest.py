@@ -18,7 +18,7 @@ BINARY = "path string, modificationTime timestamp, length bigint, content binary
 def report_stream(spark: SparkSession, folder: str, encoding: str = "UTF-16", files_per_batch: int = 100) -> DataFrame:
     """New XML files of a folder as (doc, text)."""
     raw = spark.readStream.schema(BINARY).format("binaryFile").option("pathGlobFilter", "*.[xX][mM][lL]").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return raw.select(F.col("path").alias("doc"), F.decode("content", encoding).alias("text"))
+    return raw.select(F.col("path").alias("doc"), R.decoded(F.col("content"), encoding).alias("text"))
 
 
 def ingest(docs: DataFrame, out: str, state: str) -> StreamingQuery:
