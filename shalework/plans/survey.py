@@ -528,13 +528,13 @@ def d8_changed_rows(spark, d):
 
 
 @query("SELECT step_uid, CAST(row_number() OVER (PARTITION BY file, script_id ORDER BY step_line, step_uid) AS INT) AS line FROM (SELECT DISTINCT step_uid, file, script_id, step_line FROM steps)")
-def p19_step_numbers(spark, d):
+def e19_step_numbers(spark, d):
     s = table(spark, d, "steps").select("step_uid", "file", "script_id", "step_line").distinct()
     return s.select("step_uid", F.row_number().over(Window.partitionBy("file", "script_id").orderBy("step_line", "step_uid")).alias("line"))
 
 
 @query("SELECT file, id, max(CASE WHEN name = '-' THEN 1 ELSE 0 END) AS dash, max(CASE WHEN name = '-' AND id NOT IN (SELECT script_id FROM steps s WHERE s.file = scripts.file) THEN 1 ELSE 0 END) AS separator FROM scripts GROUP BY file, id")
-def p28_separators(spark, d):
+def e28_separators(spark, d):
     has = table(spark, d, "steps").select("file", F.col("script_id").alias("id")).distinct().withColumn("has", F.lit(True))
     s = table(spark, d, "scripts").join(has, ["file", "id"], "left")
     dash = F.coalesce(F.col("name") == "-", F.lit(False))
@@ -542,14 +542,14 @@ def p28_separators(spark, d):
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'globals' WHEN p_type LIKE '%BRASS' THEN 'summary' WHEN p_type LIKE 'SMALL%' THEN 'calculated' ELSE 'fields' END AS bucket FROM part WHERE NOT (p_name LIKE 'a%' AND p_name LIKE '%e')")
-def p8_field_buckets(spark, d):
+def e8_field_buckets(spark, d):
     p = table(spark, d, "part").where(~(F.startswith("p_name", F.lit("a")) & F.endswith("p_name", F.lit("e"))))
     bucket = F.when(F.col("p_size") > 40, "globals").when(F.col("p_type").like("%BRASS"), "summary").when(F.col("p_type").like("SMALL%"), "calculated").otherwise("fields")
     return p.select("p_partkey", bucket.alias("bucket"))
 
 
 @query("SELECT DISTINCT obj_id, CASE trim(display_type) WHEN '0' THEN 'edit box' WHEN '1' THEN 'drop-down list' WHEN '2' THEN 'pop-up menu' WHEN '3' THEN 'checkbox set' WHEN '4' THEN 'radio button set' WHEN '6' THEN 'drop-down calendar' ELSE trim(display_type) END AS shown, (TRY_CAST(trim(flags) AS BIGINT) & 4) > 0 AS bit_4 FROM layout_objects WHERE display_type IS NOT NULL")
-def p31_codes(spark, d):
+def e31_codes(spark, d):
     from shalework.operators.rendering import DISPLAY_TYPES
 
     names = F.create_map(*(F.lit(x) for kv in DISPLAY_TYPES.items() for x in kv))

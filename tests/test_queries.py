@@ -179,3 +179,9 @@ def test_profiles_of_odd_rows(spark):
     assert sorted(tuple(r) for r in profile.changed_rows(a, b, ["k"], ["v"]).collect()) == [(1, "v"), (2, "rejected"), (3, "unexpected")]
     e = profile.edge_values(spark.createDataFrame([(dt.datetime(1969, 1, 1),)], "t timestamp_ntz"), [], [], ["t"]).collect()
     assert {r.edge: r.n for r in e} == {"midnight": 1, "before 1970": 1}
+
+
+def test_only_problems_have_p_names():
+    import re
+
+    assert {n for n in catalog.QUERIES if re.match(r"p\d+_", n)} == {"p1_found", "p1_report", "p2_found", "p2_summary", "p6_found", "p6_records", "p6_failures"}
