@@ -34,11 +34,11 @@ WORD = re.compile(r"\w+")
 #: The similarity as a fraction, and the least number of words.
 NUM, DEN, MIN_WORDS = 6, 10, 25
 #: Occurrences from which a triple counts as rarer or more common when triples are ordered; the first is what can have a partner.
-LEVELS = (2, 8, 64, 1024, 16384)
+LEVELS = (2, 8, 64, 1024, 16384, 1 << 20)
 #: Blocks that the texts of a routing token of each level are split into.
-BLOCKS = (1, 1, 1, 1, 4, 32)
+BLOCKS = (1, 1, 1, 1, 4, 32, 256)
 #: Bits of the maps that tell the levels: 16 MB for the first, 2 MB for each further one, at any corpus size.
-MAP_BITS = (27, 24, 24, 24, 24)
+MAP_BITS = (27, 24, 24, 24, 24, 24)
 #: Pairs of nodes with at most so many pairs of records are compared directly.
 DIRECT = 32
 CHUNK_ROWS = 60_000
@@ -298,19 +298,20 @@ def candidates(rows: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
         return pa.record_batch([pa.array([raw[x] for x in once // len(distinct)], pa.binary()), pa.array([raw[x] for x in once % len(distinct)], pa.binary())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        routes, recs, held = [], [], 0
+        routes, recs, held, goal = [], [], 0, CHUNK_ROWS
         for b in batches:
             if not b.num_rows:
                 continue
             routes.append(np.asarray(b.column(0)))
             recs.append(np.frombuffer(b"".join(b.column(1).to_pylist()), _REC))
             held += b.num_rows
-            if held >= CHUNK_ROWS:
+            if held >= goal:
                 route, rec = np.concatenate(routes), np.concatenate(recs)
                 whole = int(np.searchsorted(route, route[-1], "left"))  # the last route may go on
                 if whole:
                     yield pairs(route[:whole], rec[:whole])
-                    routes, recs, held = [route[whole:]], [rec[whole:]], len(route) - whole
+                routes, recs, held = [route[whole:]], [rec[whole:]], len(route) - whole
+                goal = held + CHUNK_ROWS if whole else 2 * held  # a route longer than a chunk is put together a few times only
         if held:
             yield pairs(np.concatenate(routes), np.concatenate(recs))
 

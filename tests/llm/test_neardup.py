@@ -42,7 +42,7 @@ def sample(n, seed, vocabulary=60):
 @pytest.mark.parametrize("seed,blocks", [(1, None), (2, 3)])
 def test_pairs_equal_brute_force(spark, seed, blocks, monkeypatch):
     if blocks:  # every token counts as a hot one, whose texts are split between tasks
-        monkeypatch.setattr(neardup, "BLOCKS", (1, blocks, blocks, blocks, blocks, blocks))
+        monkeypatch.setattr(neardup, "BLOCKS", (1, blocks, blocks, blocks, blocks, blocks, blocks))
         monkeypatch.setattr(neardup, "BROADCAST_KEYS", 1)
         monkeypatch.setattr(neardup, "DIRECT", 2)
         monkeypatch.setattr(neardup, "CHUNK_ROWS", 300)
