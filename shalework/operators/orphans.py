@@ -26,7 +26,7 @@ BROADCAST_FILES = 100_000
 
 def step_references(steps: DataFrame) -> DataFrame:
     """Script calls in steps as references (tab, row_id, tag, file, ref, at)."""
-    return steps.select(
+    return steps.where(F.col("called_script").isNotNull()).select(
         F.lit("steps").alias("tab"), F.col("step_uid").alias("row_id"), F.lit("Script").alias("tag"),
         file_key(F.when(blank(F.col("called_file")), F.col("file")).otherwise(F.col("called_file"))).alias("file"),
         strip(F.col("called_script")).alias("ref"), F.col("scanned_at").alias("at"),
@@ -35,7 +35,7 @@ def step_references(steps: DataFrame) -> DataFrame:
 
 def listed_references(unresolved: DataFrame) -> DataFrame:
     """Rows of the unresolved list whose kind of target has a table here."""
-    return unresolved.where(F.col("tag").isin("Script", "ValueList", "FileReference")).select(
+    return unresolved.where(F.col("tag").isin("Script", "ValueList", "FileReference") & F.col("ref").isNotNull()).select(
         F.lit("unresolved").alias("tab"), "row_id", "tag",
         file_key(F.when(blank(F.col("target_file")), F.col("file")).otherwise(F.col("target_file"))).alias("file"),
         strip(F.col("ref")).alias("ref"), F.col("seen_at").alias("at"),
@@ -64,9 +64,15 @@ def find_orphans(refs: DataFrame, parents: DataFrame, files: DataFrame, period:
     bits, n_words = bloom.build(lives.select(key("id").alias("h")), n, max_words)
     maybe = bloom.might_contain(bits, n_words, key("ref"))
 
-    r, p = refs.where(maybe).alias("r"), lives.alias("p")
     if n <= broadcast_rows:
-        p = F.broadcast(p)
+        # nothing is shuffled, so one pass does: what the filter excludes has no key and is not looked up
+        spans = lives.groupBy(F.col("tag").alias("_tag"), F.col("file").alias("_file"), F.col("id").alias("_id")).agg(F.collect_list(F.struct("loaded_at", "deleted_at")).alias("spans"))
+        probe = (F.col("tag") == F.col("_tag")) & (F.col("file") == F.col("_file")) & (F.when(maybe, F.col("ref")) == F.col("_id"))
+        alive = F.exists("spans", lambda s: (s["loaded_at"] <= F.col("at")) & (s["deleted_at"].isNull() | (s["deleted_at"] > F.col("at"))))
+        orphans = refs.join(F.broadcast(spans), probe, "left").where(~F.coalesce(alive, F.lit(False)))
+        return orphans.select("tab", "row_id", "tag", F.date_format("at", period).alias("period")).distinct()
+
+    r, p = refs.where(maybe).alias("r"), lives.alias("p")
     alive = (
         (F.col("r.tag") == F.col("p.tag")) & (F.col("r.file") == F.col("p.file")) & (F.col("r.ref") == F.col("p.id"))
         & (F.col("p.loaded_at") <= F.col("r.at")) & (F.col("p.deleted_at").isNull() | (F.col("p.deleted_at") > F.col("r.at")))
