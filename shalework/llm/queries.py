@@ -26,6 +26,12 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact(steps, p3_found(spark, d), "steps", "step_uid", STEP_FIELDS)
 
 
+def p3_redacted_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Every data source with its credentials masked -> the columns of data_sources."""
+    sources = table(spark, d, "data_sources")
+    return secrets.redact(sources, p3_found(spark, d), "data_sources", "source_uid", SOURCE_FIELDS)
+
+
 def p4_batches(spark: SparkSession, d: str) -> DataFrame:
     """The objects of the last snapshot in batches of at most 6,000 lines, each of one file, kind and folder."""
     return packing.pack_snapshot(table(spark, d, "object_index"))
@@ -82,7 +88,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_batches, p4_mixed, p4_unused, p5_found, p5_groups, p7_found, p7_frequencies, p8_ids, p9_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_redacted_sources, p4_batches, p4_mixed, p4_unused, p5_found, p5_groups, p7_found, p7_frequencies, p8_ids, p9_found, p10_pieces)}
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 

@@ -107,6 +107,22 @@ def test_p3_redaction_leaves_no_credential(spark, sf):
                 assert S.MASK in r[f]
 
 
+def test_p3_redaction_of_sources_leaves_no_credential(spark, sf):
+    found = defaultdict(list)
+    for r in queries.p3_found(spark, sf).collect():
+        if r.tab == "data_sources":
+            found[r.rec_id].append(r.secret)
+    assert found
+    before = spark.read.parquet(f"{sf}/data_sources.parquet")
+    after = queries.p3_redacted_sources(spark, sf)
+    assert after.columns == before.columns
+    want = [r.asDict() | {"password": S.masked(r.password, found.get(r.source_uid, []))} for r in before.collect()]
+    got = [r.asDict() for r in after.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {r["source_uid"] for r in got if S.MASK in (r["password"] or "")} >= set(found)
+    assert not any(v in (r["password"] or "") for r in got for v in found.get(r["source_uid"], []))
+
+
 # --- packing ------------------------------------------------------------------------------------------------------
 
 
