@@ -4,7 +4,8 @@
    keys with a known prefix), values in a telling position (after a key word, in a header, a connection string, a URL, as the key of
    a cipher) and literals that merely look random.
 2. These literals are indexed over the whole corpus with the number of their owners (application files). A value that many owners
-   share is a placeholder or a sample, not a secret, and is suppressed; the others are confirmed.
+   share and that calls itself a sample is suppressed; the others are confirmed, however many owners they have. Values with a
+   structure of their own are never suppressed.
 3. Every text is scanned again with an automaton of the confirmed values, which finds them in places that tell nothing.
 
 The automaton is built from blocks of bounded size; more values mean more scans, not a larger automaton. Values that a pattern
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shalework.session import cut
 
-#: Owners from which a value is a widely shared placeholder.
+#: Owners from which a value that calls itself a sample is a widely shared placeholder.
 SHARED_OWNERS = 12
 #: Characters of confirmed values in one automaton (about 80 bytes each in memory).
 BLOCK_CHARS = 1_500_000
@@ -101,6 +102,8 @@ _PLACEHOLDER = re.compile(
     r"(?:pass(?:word|wort)?|secret|token|key|changeme|change[_ -]?me|redacted|example|null|none|todo|n/?a|true|false|json(?:string)?)",
     _I | re.S,
 )
+#: Words by which a value calls itself a sample (a pattern of Spark's).
+_SAMPLE = r"(?i)(?<![a-z])(?:sample|example|placeholder|dummy|changeme)(?![a-z])"
 _REFERENCE = re.compile(r"\$|::|\b\w+\s*\(")
 
 
@@ -297,8 +300,8 @@ def literal_index(texts: DataFrame) -> DataFrame:
 
 
 def confirmed(index: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
-    """The literals few enough owners have."""
-    return index.where(F.col("owners") < shared)
+    """All literals but those of no structure that many owners have and that call themselves samples."""
+    return index.where(F.col("kind").isin(KEY, TOKEN) | (F.col("owners") < shared) | ~F.col("value").rlike(_SAMPLE))
 
 
 _built: dict[str, object] = {}
@@ -317,15 +320,14 @@ def _automaton(name: str, values: list[str]) -> object:
     return _built[name]
 
 
-def _scan(texts: DataFrame, values: list[str], suppressed: list[str], first: bool) -> DataFrame:
+def _scan(texts: DataFrame, values: list[str], first: bool) -> DataFrame:
     """(tab, rec_id, field, secret): the block's values by automaton; in the first scan also what a pattern recognises anywhere."""
     sc = texts.sparkSession.sparkContext
-    block = sc.broadcast((values, frozenset(suppressed)))
-
+    block = sc.broadcast(values)
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, shared = block.value
+        listed = block.value
         automaton = _automaton(name, listed)
 
         def find(text: str) -> set[str]:
@@ -335,7 +337,7 @@ def _scan(texts: DataFrame, values: list[str], suppressed: list[str], first: boo
                     if _whole(text, last + 1 - n, last + 1) and not _wording(text, last + 1 - n, last + 1):
                         out.add(text[last + 1 - n : last + 1])
             if first:
-                out |= {v for v, _ in _self_evident(text, _signs(text.lower())) if v not in shared and not _placeholder(v)}
+                out |= {v for v, _ in _self_evident(text, _signs(text.lower())) if not _placeholder(v)}
             if len(out) > 1:  # a value within a longer one is not one of its own, unless it also stands alone
                 out = {v for v in out if not any(v != w and v in w for w in out) or _alone(text, v, out)}
             return out
@@ -366,11 +368,10 @@ def find_secrets(texts: DataFrame, shared: int = SHARED_OWNERS, block_chars: int
     good = confirmed(index, shared).where(F.col("kind").isin(NAMED, BARE)).select("value")
     size = good.agg(F.sum(F.length("value"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_chars))
-    suppressed = [r[0] for r in index.where((F.col("owners") >= shared) & F.col("kind").isin(KEY, TOKEN)).select("value").toLocalIterator()]
     found = None
     for i in range(blocks):
         values = good.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == i).toArrow()["value"].to_pylist()
-        one = _scan(texts, sorted(values), suppressed, i == 0)
+        one = _scan(texts, sorted(values), i == 0)
         found = one if found is None else found.unionByName(one)
     return found.distinct()
 
