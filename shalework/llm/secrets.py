@@ -9,7 +9,8 @@
 3. Every text is scanned again with an automaton of the confirmed values, which finds them in places that tell nothing.
 
 The automaton is built from blocks of bounded size; more values mean more scans, not a larger automaton. Values that a pattern
-recognises anywhere (key blocks, prefixed and signed tokens) are not in it.
+recognises anywhere (key blocks, prefixed and signed tokens) are not in it. Which values are parts of longer ones is decided when
+the values of all blocks are together.
 
 Defined results. Null and empty texts hold no credential. A value that stands in a field several times, or in a record that was
 delivered more than once, is one row. Text around a masked value stays as it is, byte for byte.
@@ -17,6 +18,7 @@ delivered more than once, is one row. Text around a masked value stays as it is,
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -321,7 +323,8 @@ def _automaton(name: str, values: list[str]) -> object:
 
 
 def _scan(texts: DataFrame, values: list[str], first: bool) -> DataFrame:
-    """(tab, rec_id, field, secret): the block's values by automaton; in the first scan also what a pattern recognises anywhere."""
+    """(tab, rec_id, field, secret, text_id, starts): the block's values by automaton; in the first scan also what a pattern recognises
+    anywhere. starts are the places where the value stands on its own in the text that text_id names."""
     sc = texts.sparkSession.sparkContext
     block = sc.broadcast(values)
     name = uuid.uuid4().hex
@@ -330,7 +333,7 @@ def _scan(texts: DataFrame, values: list[str], first: bool) -> DataFrame:
         listed = block.value
         automaton = _automaton(name, listed)
 
-        def find(text: str) -> set[str]:
+        def find(text: str) -> list[tuple[str, str, list[int]]]:
             out: set[str] = set()
             if listed:
                 for last, n in automaton.iter(text):
@@ -338,11 +341,10 @@ def _scan(texts: DataFrame, values: list[str], first: bool) -> DataFrame:
                         out.add(text[last + 1 - n : last + 1])
             if first:
                 out |= {v for v, _ in _self_evident(text, _signs(text.lower())) if not _placeholder(v)}
-            if len(out) > 1:  # a value within a longer one is not one of its own, unless it also stands alone
-                out = {v for v in out if not any(v != w and v in w for w in out) or _alone(text, v, out)}
-            return out
+            text_id = hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if out else ""
+            return [(v, text_id, [a for a, _ in spans(text, v)]) for v in out]
 
-        cache: dict[str, set[str]] = {}
+        cache: dict[str, list] = {}
         for b in batches:
             rows: list[tuple] = []
             for tab, rec, field, text in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -350,16 +352,24 @@ def _scan(texts: DataFrame, values: list[str], first: bool) -> DataFrame:
                     if len(cache) > 20_000:
                         cache.clear()
                     cache[text] = find(text)
-                rows += [(tab, rec, field, v) for v in cache[text]]
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["tab", "rec_id", "field", "secret"])
+                rows += [(tab, rec, field, *v) for v in cache[text]]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["tab", "rec_id", "field", "secret", "text_id", "starts"])
 
-    return texts.select("tab", "rec_id", "field", "text").mapInArrow(run, "tab string, rec_id long, field string, secret string")
+    return texts.select("tab", "rec_id", "field", "text").mapInArrow(run, "tab string, rec_id long, field string, secret string, text_id string, starts array<int>")
 
 
-def _alone(text: str, value: str, found: set[str]) -> bool:
-    covers = [s for w in found if w != value and value in w for s in spans(text, w)]
-    return any(not any(a <= x and y <= z for a, z in covers) for x, y in spans(text, value))
+def _own(found: DataFrame) -> DataFrame:
+    """(tab, rec_id, field, secret), each once: a value within a longer one of the same text is not one of its own, unless it also
+    stands alone."""
+    all_of = found.groupBy("tab", "rec_id", "field").agg(F.collect_set(F.struct("secret", "text_id", "starts")).alias("f"))
+    longer = lambda w, v: (w["text_id"] == v["text_id"]) & (w["secret"] != v["secret"]) & F.contains(w["secret"], v["secret"])
+    covers = lambda w, v, at: F.exists(w["starts"], lambda a: (a <= at) & (at + F.length(v["secret"]) <= a + F.length(w["secret"])))
+    alone = lambda v: F.exists(v["starts"], lambda at: ~F.exists("f", lambda w: longer(w, v) & covers(w, v, at)))
+    own = F.filter("f", lambda v: ~F.exists("f", lambda w: longer(w, v)) | alone(v))
+    kept = F.when(F.size("f") > 1, own).otherwise(F.col("f"))
+    return all_of.select("tab", "rec_id", "field", F.explode(F.array_distinct(F.transform(kept, lambda v: v["secret"]))).alias("secret"))
 
 
 def find_secrets(texts: DataFrame, shared: int = SHARED_OWNERS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -373,7 +383,7 @@ def find_secrets(texts: DataFrame, shared: int = SHARED_OWNERS, block_chars: int
         values = good.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == i).toArrow()["value"].to_pylist()
         one = _scan(texts, sorted(values), i == 0)
         found = one if found is None else found.unionByName(one)
-    return found.distinct()
+    return _own(found)
 
 
 def redact(df: DataFrame, found: DataFrame, tab: str, rec_id: str, fields: list[Field], mask: str = MASK) -> DataFrame:

@@ -95,6 +95,25 @@ def test_genuine_values_of_many_owners(spark):
     assert got == sorted((100 * k + i, v) for k, v in want.items() for i in range(40))
 
 
+@pytest.mark.parametrize("block", [1, 10**6])
+def test_nested_values_are_no_rows_of_their_own_in_any_block(spark, block):
+    key = "-----BEGIN EC PRIVATE KEY----- lampstone ember77 -----END EC PRIVATE KEY-----"
+    texts = {
+        1: ('"-u a:lampstone --insecure"', ["lampstone"]),
+        2: ('"-u a:ember77 --insecure"', ["ember77"]),
+        3: ('CryptDecrypt ( A::b ; "é violet lampstone 63" )', ["é violet lampstone 63"]),
+        4: ('CryptDecrypt ( A::b ; "é violet lampstone 63" ) lampstone', ["lampstone", "é violet lampstone 63"]),
+        5: ('"eyJhbGciOi.lampstone.ember77"', ["eyJhbGciOi.lampstone.ember77"]),
+        6: (f'"{key}"', [key]),
+        7: ('CryptDecrypt ( A::b ; "\U0001f512 amber ember77 quartz" )', ["\U0001f512 amber ember77 quartz"]),
+    }
+    rows = [(i, "f", t) for i, (t, _) in texts.items()] + [(8, "f", texts[3][0]), (8, "f", "so lampstone stands")]  # two deliveries
+    t = S.fields_of(spark.createDataFrame(rows, "id long, file string, a string"), "t", "id", "file", [S.Field("a")])
+    got = sorted((r.rec_id, r.secret) for r in S.find_secrets(t, block_chars=block).collect())
+    want = [(i, v) for i, (_, vs) in texts.items() for v in vs] + [(8, "lampstone"), (8, "é violet lampstone 63")]
+    assert got == sorted(want)
+
+
 def test_redacted_rows(spark):
     df = spark.createDataFrame([(1, "f", 'x "-u a:lampstone2027 --insecure" y', None), (2, "f", None, "lampstone2027"), (3, "g", "nothing", "")], "id long, file string, a string, b string")
     fields = [S.Field("a"), S.Field("b", password=True)]
