@@ -58,20 +58,21 @@ _SELF = tuple(
     )
 )
 
-#: Values in a telling position: what the lower-case text must hold (any of), and the pattern; group 1 is the value.
+#: Values in a telling position: what the lower-case text must hold (any of; of a tuple all parts), and the pattern; group 1 is the
+#: value. Only what every match holds may stand here, so no spacing that a pattern leaves open.
 _PLACED = tuple(
-    (needles, re.compile(p, _I))
+    (tuple((n,) if isinstance(n, str) else n for n in needles), re.compile(p, _I))
     for needles, p in (
         (("=",), rf'(?:(?<=[;"])|(?<=; ))\s*{_WORD}\s*=\s*([^;"¶\n\\]+?)\s*(?=;|")'),  # connection string
         (("¶", "\n", "\r", "\\n", "\\r"), rf'(?:(?<=¶)|(?<=\n)|(?<=\r)|(?<=\\n)|(?<=\\r))[ \t]*{_NAME}[ \t]*[=:][ \t]*([^¶\n\r\\"]+?)[ \t]*(?=¶|[\n\r"]|\\[nr])'),  # configuration line
         (("?", "&"), rf'[?&]{_NAME}=([^&"\'\s#]+)'),
         (("export",), rf'\bexport\s+{_NAME}=([^\s"\'$&;(]+)'),
         (("=",), rf'(?<=")\s*{_NAME}=([^\s"\'&;]+)(?=")'),
-        (("='", "= '"), rf"\b{_NAME}\s*=\s*'([^'\"<>]+)'"),
+        ((("=", "'"),), rf"\b{_NAME}\s*=\s*'([^'\"<>]+)'"),
         (("identified",), r"\bidentified\s+by\s+'([^'\"]+)'"),
-        (("password '",), r"\bpassword\s+'([^'\"]+)'"),
+        ((("password", "'"),), r"\bpassword\s+'([^'\"]+)'"),
         (('\\"',), rf'\\"{_NAME}\\"\s*:\s*\\"((?:[^"\\]|\\(?!"))+)\\"'),
-        (('":', '" :'), rf'(?<!\\)"{_NAME}"\s*:\s*"((?:[^"\\]|\\.)+)"'),
+        ((('"', ":"),), rf'(?<!\\)"{_NAME}"\s*:\s*"((?:[^"\\]|\\.)+)"'),
         (("authorization:",), r"\bauthorization:\s*(?:bearer|basic|token|digest|apikey)\s+([^\s\"'\\¶]+)"),
         ((": ", ":\t"), r"(?<![\w-])(?!authorization)[\w-]*(?:key|token|secret|auth)[\w-]*:[ \t]+(?!bearer|basic)([^\s\"'\\¶;]+)(?=[\"'\\¶\s])"),
         (("-u", "--user"), r'(?<![\w-])(?:-u|--user)[ =]+[^\s:"]+:([^"]+?)(?=\s+-|\s*"|\\"|$)'),
@@ -193,7 +194,7 @@ def literals(text: str, password: bool = False) -> list[tuple[str, str]]:
         return list(found.items())
     if signs >> len(_SELF) & 1:
         for needles, p in _PLACED:
-            if any(n in low for n in needles):
+            if any(all(part in low for part in n) for n in needles):
                 for v in p.findall(text):
                     if not ("::" in v and _REFERENCE.search(v)) and '" &' not in v:
                         add(v, NAMED)

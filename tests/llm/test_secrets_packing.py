@@ -50,6 +50,22 @@ def test_found(text, want):
     assert sorted(v for v, _ in S.literals(text)) == want
 
 
+@pytest.mark.parametrize("gap", ["", " ", "  ", "\t", "\n", " \r\n\t"])
+def test_found_at_any_spacing(gap):
+    texts = [f"<auth password{gap}={gap}'lampstone2014'/>", f'{{"password"{gap}:{gap}"lampstone2014"}}', f"alter user a with PASSWORD {gap}'lampstone2014'", f"alter user a identified {gap}by {gap}'lampstone2014'"]
+    texts += [f"alter user a with PASSWORD{gap}'lampstone2014'"] if gap else []
+    for text in texts:
+        assert S.literals(text) == [("lampstone2014", S.NAMED)], text
+
+
+def test_gates_hold_back_no_match():
+    for gap in ("", " ", "  ", "\t", "\n"):
+        for text, _ in FOUND:
+            text = text.replace("=", f"{gap}={gap}").replace(":", f"{gap}:{gap}").replace(" '", f"{gap or ' '}'")
+            for needles, p in S._PLACED:
+                assert not p.search(text) or any(all(part in text.lower() for part in n) for n in needles), (text, p.pattern)
+
+
 @pytest.mark.parametrize("text", NONE)
 def test_none(text):
     assert S.literals(text) == []
