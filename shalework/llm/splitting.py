@@ -7,8 +7,10 @@ before, or at its end where there is none, so that no piece starts inside a line
 
 Boundaries by strength: an empty line, a heading or fence line, a line end, the end of a sentence, the start of a statement or clause, white
 space, any place where the tokenizer's pattern ends a word. All of them are *fixed cuts* (see :mod:`shalework.llm.tokens`):
-a text cut there has on either side exactly the tokens it has in the whole. Where a stretch has no fixed cut a character is
-chosen, the pieces are encoded again to prove the limit, and share nothing.
+a text cut there has on either side exactly the tokens it has in the whole. Where a stretch of more than ``limit`` tokens has no
+fixed cut a character is chosen, the pieces of the stretch are encoded again to prove the limit, and share nothing; the text
+before and behind the stretch is split like a text of its own. Where no count of pieces places all ends though the cuts are near
+enough, each piece ends at the strongest boundary in the last half of what the limit lets it reach.
 
 Defined results. Texts of at most ``limit`` tokens, null and empty ones give no pieces. Every character of the text lies in a
 piece; piece k covers the characters [char_start, char_end), and ``char_start`` of piece k + 1 is at most ``char_end`` of piece k.
@@ -131,7 +133,61 @@ def split(text: str, ids: np.ndarray, enc: Encoder, limit: int = LIMIT, overlap:
             if cuts is not None:
                 return _finish(cuts, text)
             pieces += max(1, pieces // 16)
-    return _forced(text, enc, limit)
+    return _by_stretches(text, enc, at, strength, token, total, limit, overlap)
+
+
+def _by_stretches(text: str, enc: Encoder, at: np.ndarray, strength: np.ndarray, token: np.ndarray, total: int, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces of a text in which no count of balanced pieces fits: only stretches of more than ``limit`` tokens without a fixed cut are
+    forced, what lies between them is balanced."""
+    chars = np.concatenate([[0], at, [len(text)]])
+    tokens = np.concatenate([[0], token, [total]])
+    kinds = np.concatenate([[0], strength, [len(STRENGTHS)]])
+    out: list[tuple[int, int, int, int, int]] = []
+    i = 0
+    for j in [*np.flatnonzero(np.diff(tokens) > limit).tolist(), len(tokens) - 1]:  # a stretch begins at edge j
+        a, z = int(chars[i]), int(chars[j])
+        if i < j:
+            inner = slice(i + 1, j)
+            n = int(tokens[j] - tokens[i])
+            part = _balanced(chars[inner] - a, kinds[inner], tokens[inner] - tokens[i], n, limit, overlap)
+            out += [(a + x, a + y if y >= 0 else z, n, shared, s if y >= 0 else int(kinds[j])) for x, y, n, shared, s in part]
+        if j + 1 < len(tokens):
+            part = _forced(text[z : int(chars[j + 1])], enc, limit)
+            out += [(z + x, z + y, n, shared, s) for x, y, n, shared, s in part[:-1]]
+            x, y, n, shared, _ = part[-1]
+            out.append((z + x, z + y, n, shared, int(kinds[j + 1])))
+        i = j + 1
+    return out
+
+
+def _balanced(at: np.ndarray, strength: np.ndarray, token: np.ndarray, total: int, limit: int, overlap: int) -> list:
+    """As ``_place`` with the first count that fits, else ``_walk``; no two neighbouring cuts are more than ``limit`` tokens apart."""
+    pieces = least = 1 if total <= limit else 1 + -(-(total - limit) // (limit - overlap))
+    while pieces <= 2 * least + 4:
+        cuts = _place(at, strength, token, total, pieces, limit, overlap)
+        if cuts is not None:
+            return cuts
+        pieces += max(1, pieces // 16)
+    return _walk(at, strength, token, total, limit, overlap)
+
+
+def _walk(at: np.ndarray, strength: np.ndarray, token: np.ndarray, total: int, limit: int, overlap: int) -> list:
+    """Piece after piece, each to the strongest boundary, the last of equals, in the last half of its reach, or the last before; the
+    overlap is shortened where the next cut would be out of reach."""
+    out, start_tok, start_char, last_end = [], 0, 0, 0
+    while total - start_tok > limit:
+        hi = int(np.searchsorted(token, start_tok + limit, "right"))
+        lo = int(np.searchsorted(token, max(last_end + 1, start_tok + limit // 2), "left"))
+        best = int(np.lexsort((-token[lo:hi], -strength[lo:hi]))[0]) + lo if lo < hi else hi - 1
+        end_tok = int(token[best])
+        out.append((start_char, int(at[best]), end_tok - start_tok, last_end - start_tok, int(strength[best])))
+        last_end = end_tok
+        following = int(token[best + 1]) if best + 1 < len(token) else total
+        lo = int(np.searchsorted(token, max(end_tok - overlap, start_tok + 1, following - limit), "left"))
+        first = int(np.lexsort((token[lo:best], -strength[lo:best]))[0]) + lo if lo < best else best
+        start_tok, start_char = int(token[first]), int(at[first])
+    out.append((start_char, -1, total - start_tok, last_end - start_tok, len(STRENGTHS)))
+    return out
 
 
 def _place(at: np.ndarray, strength: np.ndarray, token: np.ndarray, total: int, pieces: int, limit: int, overlap: int) -> list | None:

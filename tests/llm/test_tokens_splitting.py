@@ -1,5 +1,7 @@
 """Encoding and splitting: exact round trips against whole-text encoding, limits and odd texts."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -81,6 +83,30 @@ def test_pieces_of_any_text(text):
         check_pieces(text, splitting.split(text, ids, ENC, 12, 3), 12, 3)
 
 
+@pytest.mark.parametrize("stretch", ["\t" * 5000, "a" * 9000, " " * 40000, "x" * 1500, "x" * 4000])
+@pytest.mark.parametrize("head,tail", [(0, 400), (400, 0), (400, 400), (3, 400)])
+def test_only_the_stretch_without_a_cut_is_forced(stretch, head, tail):
+    line = "Alpha beta gamma, delta. Epsilon zeta.\n"
+    text = line * head + stretch + "\n" + line * tail
+    ids = np.asarray(ENC.encode(text))
+    pieces = splitting.split(text, ids, ENC)
+    check_pieces(text, pieces, splitting.LIMIT, splitting.OVERLAP)
+    a, z = len(line) * head, len(line) * head + len(stretch) + 1
+    for before, piece in zip(pieces, pieces[1:]):
+        if piece[1] <= a or before[0] >= z:  # both in the ordinary text
+            assert 0 < piece[3] <= splitting.OVERLAP
+
+
+def test_many_short_runs_keep_the_overlap():
+    rnd = random.Random(3)
+    text = "".join("".join(rnd.choice("word line item\n".split(" ")) + " " for _ in range(rnd.randint(1, 90))) + "\t" * rnd.choice([1, 200, 330, 410]) + "\n" for _ in range(60))
+    for limit, overlap in ((512, 64), (430, 60)):
+        ids = np.asarray(ENC.encode(text))
+        pieces = splitting.split(text, ids, ENC, limit, overlap)
+        check_pieces(text, pieces, limit, overlap)
+        assert sum(p[3] > 0 for p in pieces) > len(pieces) // 3
+
+
 def test_paragraphs_win_over_lines():
     text = ("word " * 60 + "\n" + "word " * 60 + "\n\n") * 6
     pieces = splitting.split(text, np.asarray(ENC.encode(text)), ENC, 160, 20)
