@@ -410,10 +410,10 @@ def generic_items(nodes: DataFrame) -> DataFrame:
     ids = nodes.where(attr("id").isNotNull() & (F.col("tag") != "Group")).select(F.col("doc").alias("_d"), F.col("pre").alias("_p"))
     holders = item.where(attr("id").isNotNull() & (F.col("tag") != "Group"))
     # an item inside another item is part of it
-    inside = holders.select("doc", "pre", F.explode(F.slice("anc", 4, 100)).alias("a")).join(ids, (F.col("doc") == F.col("_d")) & (F.col("a.pre") == F.col("_p"))).select("doc", "pre").distinct()
+    inside = holders.select("doc", "pre", F.explode(F.slice("anc", 4, F.size("anc"))).alias("a")).join(ids, (F.col("doc") == F.col("_d")) & (F.col("a.pre") == F.col("_p"))).select("doc", "pre").distinct()
     out = holders.join(inside, ["doc", "pre"], "left_anti").select("doc", "file", catalog["tag"].alias("catalog"), "pre", "tag", attr("id").alias("id"), attr("name").alias("name"), "anc")
     groups = nodes.where(F.col("tag") == "Group").select(F.col("doc").alias("_gd"), F.col("pre").alias("_gp"), attr("name").alias("_gn"))
-    up = out.select("doc", "pre", F.posexplode(F.slice("anc", 4, 100)).alias("at", "a")).join(groups, (F.col("doc") == F.col("_gd")) & (F.col("a.pre") == F.col("_gp")), "left")
+    up = out.select("doc", "pre", F.posexplode(F.slice("anc", 4, F.size("anc"))).alias("at", "a")).join(groups, (F.col("doc") == F.col("_gd")) & (F.col("a.pre") == F.col("_gp")), "left")
     folder = up.groupBy(F.col("doc").alias("_fd"), F.col("pre").alias("_fp")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("_gn", "a.tag").alias("n")))), lambda x: x["n"]).alias("folder"))
     both = out.join(folder, (F.col("doc") == F.col("_fd")) & (F.col("pre") == F.col("_fp")), "left")
     return both.select("doc", "file", "catalog", "pre", "tag", "id", "name", F.coalesce("folder", F.array().cast("array<string>")).alias("folder"))

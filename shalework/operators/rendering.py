@@ -381,7 +381,7 @@ def objects(nodes: DataFrame) -> DataFrame:
     whole = F.col("depth") == 2
     n = n.withColumn("o", begun(~whole)).withColumn("c", begun(whole))
     n = n.withColumn("o", F.when(F.col("pre") <= F.col("o.post"), F.col("o")).when((F.col("pre") <= F.col("c.post")) & (F.col("tag") != "Group"), F.col("c"))).where("o is not null")
-    wrappers = it.where("id <> 'catalog' or id is null").select("doc", "pre").join(nodes.where("depth > 2").select("doc", "pre", "anc"), ["doc", "pre"]).select("doc", F.explode(F.slice("anc", 4, 100)).alias("a")).select("doc", F.col("a.pre").alias("pre")).distinct()
+    wrappers = it.where("id <> 'catalog' or id is null").select("doc", "pre").join(nodes.where("depth > 2").select("doc", "pre", "anc"), ["doc", "pre"]).select("doc", F.explode(F.slice("anc", 4, F.size("anc"))).alias("a")).select("doc", F.col("a.pre").alias("pre")).distinct()
     n = n.join(wrappers, ["doc", "pre"], "left_anti")
     rows = n.select("doc", F.col("o.item").alias("item"), F.col("o.kind").alias("kind"), "pre", "post", "tag", "attr_order", "attrs", "text", "status", extra.alias("extra"), "refs")
     rows = rows.repartition("doc").sortWithinPartitions("doc", "item", "pre")
