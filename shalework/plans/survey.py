@@ -63,6 +63,12 @@ def f1_slug(spark, d):
     return _index(spark, d, 6).select("path", X.slug(F.col("name")).alias("slug"))
 
 
+@query(f"SELECT DISTINCT snapshot_no, path, name, {_SLUG('name')} AS slug FROM object_index")
+def f1_slug_all(spark, d):
+    """As f1_slug, over every row of every snapshot."""
+    return table(spark, d, "object_index").select("snapshot_no", "path", "name", X.slug(F.col("name")).alias("slug")).distinct()
+
+
 @query(f"SELECT doc_id, len(regexp_split_to_array(text, '{_BREAKS}')) AS n FROM documents WHERE text IS NOT NULL")
 def f2_lines_of(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.lines_of(F.col("text"))).cast("long").alias("n"))
@@ -222,6 +228,12 @@ def a6_multiplicity(spark, d):
     return profile.key_duplicates(table(spark, d, "object_index").where("snapshot_no = 6"), ["path"])
 
 
+@query("SELECT snapshot_no, path, count(*) AS n FROM object_index GROUP BY snapshot_no, path HAVING count(*) <> 1")
+def a6_multiplicity_all(spark, d):
+    """As a6_multiplicity, over every snapshot."""
+    return profile.key_duplicates(table(spark, d, "object_index"), ["snapshot_no", "path"])
+
+
 @query("SELECT name, arg_max(file, struct_pack(n := n, k := -o)) AS file, max(n) AS n FROM (SELECT name, file, count(*) AS n, dense_rank() OVER (ORDER BY file) AS o FROM scripts WHERE name <> '' GROUP BY name, file) GROUP BY name")
 def a7_argmax_merge(spark, d):
     n = table(spark, d, "scripts").where("name <> ''").groupBy("name", "file").agg(F.count("*").alias("n"))

@@ -185,3 +185,12 @@ def test_only_problems_have_p_names():
     import re
 
     assert {n for n in catalog.QUERIES if re.match(r"p\d+_", n)} == {"p1_found", "p1_report", "p2_found", "p2_summary", "p6_found", "p6_records", "p6_failures"}
+
+
+def test_names_and_keys_of_every_snapshot(spark, tmp_path):
+    rows = [(n, f"p{i}", f"Name / {n}-{i}") for n in (1, 5, 6, 7) for i in range(3)] + [(7, "p1", "Name / 7-1"), (2, "q", None), (2, "q", "b")]
+    spark.createDataFrame(rows, "snapshot_no int, path string, name string").write.parquet(f"{tmp_path}/object_index.parquet")
+    q = catalog.QUERIES
+    slugs = {(r.snapshot_no, r.path, r.name) for r in q["f1_slug_all"](spark, str(tmp_path)).collect()}
+    assert slugs == set(rows)
+    assert sorted(tuple(r) for r in q["a6_multiplicity_all"](spark, str(tmp_path)).collect()) == [(2, "q", 2), (7, "p1", 2)]
