@@ -3,14 +3,17 @@
 1. Every text is searched for literals that may be credentials: values with a structure of their own (key blocks, signed tokens,
    keys with a known prefix), values in a telling position (after a key word, in a header, a connection string, a URL, as the key of
    a cipher) and literals that merely look random.
-2. These literals are indexed over the whole corpus with the number of their owners (application files). A value that many owners
-   share and that calls itself a sample is suppressed; the others are confirmed, however many owners they have. Values with a
-   structure of their own are never suppressed.
-3. Every text is scanned again with an automaton of the confirmed values, which finds them in places that tell nothing.
-
-The automaton is built from blocks of bounded size; more values mean more scans, not a larger automaton. Values that a pattern
-recognises anywhere (key blocks, prefixed and signed tokens) are not in it. Which values are parts of longer ones is decided when
-the values of all blocks are together.
+2. These literals are indexed over the whole corpus with the number of their owners (application files). What a share of all owners
+   has in common and what has no structure (no digit in it, a mask, a value that calls itself a sample) is suppressed as a
+   placeholder; a rare value is confirmed if it has the structure of a value at all, so masks and stand-ins are not. Key blocks and
+   prefixed or signed tokens are confirmed however many owners they have.
+3. Every text is scanned again, once, for the confirmed values, which finds them in places that tell nothing.
+
+The scan's automaton has the upper levels of the trie of all confirmed values: as many characters of each as a bounded number of states
+allows. Where it arrives at a leaf, the lengths of the values below the leaf and a Bloom filter over whole values decide whether the
+text at hand is a hit, and a join of the hits with the confirmed values decides for good. More values make the automaton less deep, not the
+scans more. Values that a pattern recognises anywhere (key blocks, prefixed and signed tokens) are not in it. Which hits are parts of longer ones is
+decided after the join, over all hits of a text.
 
 Defined results. Null and empty texts hold no credential. A value that stands in a field several times, or in a record that was
 delivered more than once, is one row. Text around a masked value stays as it is, byte for byte.
@@ -25,19 +28,24 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shalework.llm import bitmap
 from shalework.session import cut
 
-#: Owners from which a value that calls itself a sample is a widely shared placeholder.
-SHARED_OWNERS = 12
-#: Characters of confirmed values in one automaton (about 80 bytes each in memory).
-BLOCK_CHARS = 1_500_000
+#: A value is widely shared from so many owners on, and from this share of all owners.
+SHARED_OWNERS, SHARED_PART = 5, 0.1
+#: Characters in the scan's automaton (about 80 bytes each in memory), and the most levels it has.
+BLOCK_CHARS, DEPTH = 1_500_000, 24
+#: Values of this length and more are looked up by so many of their characters, and compared in full after that.
+LONG = 120
 MASK = "********"
 
-KEY, TOKEN, NAMED, BARE = "key", "token", "named", "bare"
+KEY, TOKEN, NAMED, BARE, MASKED = "key", "token", "named", "bare", "masked"
 
 # Words that announce a credential, in the languages of the corpus.
 _WORD = r"(?:pass(?:word|wort|phrase|wd|code)?|pwd|pw|kennwort|mdp|mot de passe|contrase(?:ñ|n)a|clave|パスワード|secret|token|credentials?)"
@@ -99,14 +107,10 @@ _PASSWORD_STEP = re.compile(r"\bPassword:\s*(.*?)\s*\]\s*$", re.S)
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", _I)
 _HEX = re.compile(r"[0-9a-f]{32,}", _I)
 
-#: Stand-ins that are no credential.
-_PLACEHOLDER = re.compile(
-    r"[•●*·.xX#_\-…\s]*|<.*>|\[.*\]|\{+.*\}+|\$.*|%\w+%|your[ _-].*|.*…|(?:the|old|new|my)|"
-    r"(?:pass(?:word|wort)?|secret|token|key|changeme|change[_ -]?me|redacted|example|null|none|todo|n/?a|true|false|json(?:string)?)",
-    _I | re.S,
-)
+#: Forms of what stands in for a credential: nothing or a mask, a name in brackets, a variable, a constant.
+_PLACEHOLDER = re.compile(r"[•●*·.xX#_\-…\s]*|<.*>|\[.*\]|\{+.*\}+|\$.*|%\w+%|.*…|(?:null|none|true|false|json(?:string)?)", _I | re.S)
 #: Words by which a value calls itself a sample (a pattern of Spark's).
-_SAMPLE = r"(?i)(?<![a-z])(?:sample|example|placeholder|dummy|changeme)(?![a-z])"
+_SAMPLE = r"(?i)(?<![a-z])(?:sample|example|placeholder|dummy|changeme|your)(?![a-z])"
 _REFERENCE = re.compile(r"\$|::|\b\w+\s*\(")
 
 
@@ -180,10 +184,15 @@ def _self_evident(text: str, signs: int) -> Iterator[tuple[str, str]]:
 
 def literals(text: str, password: bool = False) -> list[tuple[str, str]]:
     """(value, kind) of everything in the text that may be a credential; ``password`` if the whole field is one."""
+    return [x for x in candidates(text, password) if x[1] != MASKED]
+
+
+def candidates(text: str, password: bool = False) -> list[tuple[str, str]]:
+    """As ``literals``, with what only stands in for a value as kind ``MASKED``."""
     if not text:
         return []
     found: dict[str, str] = {}
-    add = lambda v, kind: found.setdefault(v, kind) if not _placeholder(v) else None
+    add = lambda v, kind: found.setdefault(v, MASKED if _placeholder(v) else kind)
     low = text.lower()
     signs = _signs(low)
     for v, kind in _self_evident(text, signs) if signs else ():
@@ -229,9 +238,16 @@ def _word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
+def _begins(text: str, at: int) -> bool:
+    return not (at > 0 and _word(text[at]) and _word(text[at - 1]) and text[max(0, at - 2) : at] not in ("\\n", "\\r", "\\t"))
+
+
+def _ends(text: str, end: int) -> bool:
+    return not (end < len(text) and _word(text[end - 1]) and _word(text[end]))
+
+
 def _whole(text: str, at: int, end: int) -> bool:
-    before = at > 0 and _word(text[at]) and _word(text[at - 1]) and text[max(0, at - 2) : at] not in ("\\n", "\\r", "\\t")
-    return not before and not (end < len(text) and _word(text[end - 1]) and _word(text[end]))
+    return _begins(text, at) and _ends(text, end)
 
 
 def _wording(text: str, at: int, end: int) -> bool:
@@ -279,73 +295,125 @@ def _memo(password: bool, cache: dict) -> Callable[[str], list[tuple[str, str]]]
         if k not in cache:
             if len(cache) > 20_000:
                 cache.clear()
-            cache[k] = literals(text, password)
+            cache[k] = candidates(text, password)
         return cache[k]
 
     return get
 
 
+_RANKS = (MASKED, BARE, NAMED, TOKEN, KEY)
+
+
 def literal_index(texts: DataFrame) -> DataFrame:
-    """(value, kind, owners) of every literal that may be a credential, over the whole corpus. kind is the strongest one."""
+    """(value, kind, owners) of every literal of the corpus, kind the strongest one; in the row without a value the number of all owners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         get = {p: _memo(p, cache) for p in (True, False)}
         for b in batches:
-            rows = {(v, k, o) for o, p, t in zip(*(b.column(i).to_pylist() for i in range(3))) for v, k in get[p](t)}
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["value", "kind", "owner"])
+            owners = b.column(0).to_pylist()
+            rows = {(v, _RANKS.index(k), o) for o, p, t in zip(owners, b.column(1).to_pylist(), b.column(2).to_pylist()) for v, k in get[p](t)} | {(None, 0, o) for o in set(owners)}
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["value", "rank", "owner"])
 
-    seen = texts.select("owner", "password", "text").mapInArrow(run, "value string, kind string, owner string").distinct()
-    rank = F.when(F.col("kind") == KEY, 3).when(F.col("kind") == TOKEN, 2).when(F.col("kind") == NAMED, 1).otherwise(0)
-    by_owner = seen.groupBy("value", "owner").agg(F.max(rank).alias("rank"))
+    seen = texts.select("owner", "password", "text").mapInArrow(run, "value string, rank int, owner string")
+    by_owner = seen.groupBy("value", "owner").agg(F.max("rank").alias("rank"))
     n = by_owner.groupBy("value").agg(F.max("rank").alias("rank"), F.count("*").alias("owners"))
-    return n.select("value", F.element_at(F.array(*map(F.lit, (BARE, NAMED, TOKEN, KEY))), F.col("rank") + 1).alias("kind"), "owners")
+    return n.select("value", F.element_at(F.array(*map(F.lit, _RANKS)), F.col("rank") + 1).alias("kind"), "owners")
+
+
+def judged(index: DataFrame, shared: int = SHARED_OWNERS, part: float = SHARED_PART) -> DataFrame:
+    """The index with ``verdict``: confirmed, shared (a placeholder by its owners) or unstructured (a mask or stand-in of few owners)."""
+    everyone = F.coalesce(index.where("value is null").agg(F.max("owners")).scalar(), F.lit(0))
+    widely = F.col("owners") >= F.greatest(F.lit(shared), F.ceil(everyone * part))
+    plain = (F.col("kind") == MASKED) | ~F.col("value").rlike(r"\d") | F.col("value").rlike(_SAMPLE)
+    verdict = F.when(F.col("kind").isin(KEY, TOKEN), "confirmed").when(widely & plain, "shared").when(F.col("kind") == MASKED, "unstructured").otherwise("confirmed")
+    return index.where("value is not null").withColumn("verdict", verdict)
 
 
 def confirmed(index: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
-    """All literals but those of no structure that many owners have and that call themselves samples."""
-    return index.where(F.col("kind").isin(KEY, TOKEN) | (F.col("owners") < shared) | ~F.col("value").rlike(_SAMPLE))
+    return judged(index, shared).where("verdict = 'confirmed'").drop("verdict")
+
 
+def _hash(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass"))
 
-_built: dict[str, object] = {}
 
+def _hashes(values: DataFrame) -> DataFrame:
+    """``h`` of the first ``LONG`` characters of each value."""
 
-def _automaton(name: str, values: list[str]) -> object:
-    """The automaton of a block; a Python worker keeps the last one for its next task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(np.array([_hash(v) for v in b.column(0).to_pylist()], np.uint64).view(np.int64))], ["h"])
+
+    return values.select(F.substring("value", 1, LONG)).mapInArrow(run, "h long")
+
+
+def upper_levels(values: DataFrame, chars: int = BLOCK_CHARS) -> tuple[int, list[tuple[str, int]]]:
+    """(depth, leaves): the deepest level at which the trie of the values has no more than ``chars`` characters, and each leaf there
+    with the lengths of the values below it as bits; bit ``LONG`` is any length from that on."""
+    levels = values.agg(*(F.approx_count_distinct(F.substring("value", 1, d), 0.02).alias(str(d)) for d in range(1, DEPTH + 1))).first()
+    depth = max((d for d in range(1, DEPTH + 1) if (levels[str(d)] or 0) * d <= chars), default=1)
+    n = F.least(F.length("value"), F.lit(LONG))
+    bit = lambda lo: F.when((n >= lo) & (n < lo + 60), F.call_function("shiftleft", F.lit(1).cast("bigint"), (n - lo).cast("int"))).otherwise(0)
+    leaves = values.groupBy(F.substring("value", 1, depth).alias("leaf")).agg(*(F.bit_or(bit(lo)).alias(f"b{lo}") for lo in (0, 60, 120))).toArrow()
+    return depth, [(x, a | b << 60 | c << 120) for x, a, b, c in zip(*(leaves[c].to_pylist() for c in ("leaf", "b0", "b60", "b120")))]
+
+
+_built: dict[str, ahocorasick.Automaton] = {}
+
+
+def _automaton(name: str, leaves: list[tuple[str, int]]) -> ahocorasick.Automaton:
+    """The automaton of the leaves; a Python worker keeps the last one for its next task."""
     if name not in _built:
         _built.clear()
-        a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for v in values:
-            a.add_word(v)
-        if values:
-            a.make_automaton()
+        a = ahocorasick.Automaton()
+        lengths: dict[int, tuple[int, ...]] = {}
+        for leaf, bits in leaves:
+            if bits not in lengths:
+                lengths[bits] = tuple(i for i in range(LONG + 1) if bits >> i & 1)
+            a.add_word(leaf, (len(leaf), lengths[bits]))
+        a.make_automaton()
         _built[name] = a
     return _built[name]
 
 
-def _scan(texts: DataFrame, values: list[str], first: bool) -> DataFrame:
-    """(tab, rec_id, field, secret, text_id, starts): the block's values by automaton; in the first scan also what a pattern recognises
-    anywhere. starts are the places where the value stands on its own in the text that text_id names."""
+_HITS = "tab string, rec_id long, field string, text_id string, start int, value string, rest string, sure boolean"
+
+
+def _scan(texts: DataFrame, leaves: list[tuple[str, int]], words: np.ndarray) -> DataFrame:
+    """Every place where a confirmed value may stand on its own: ``value`` is the text there, of long values the first ``LONG``
+    characters and in ``rest`` all that follows; sure where a pattern recognises it anywhere. ``text_id`` names the text."""
     sc = texts.sparkSession.sparkContext
-    block = sc.broadcast(values)
+    sent = sc.broadcast((leaves, words))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = block.value
-        automaton = _automaton(name, listed)
-
-        def find(text: str) -> list[tuple[str, str, list[int]]]:
-            out: set[str] = set()
-            if listed:
-                for last, n in automaton.iter(text):
-                    if _whole(text, last + 1 - n, last + 1) and not _wording(text, last + 1 - n, last + 1):
-                        out.add(text[last + 1 - n : last + 1])
-            if first:
-                out |= {v for v, _ in _self_evident(text, _signs(text.lower())) if not _placeholder(v)}
-            text_id = hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if out else ""
-            return [(v, text_id, [a for a, _ in spans(text, v)]) for v in out]
+        listed, filled = sent.value
+        automaton = _automaton(name, listed) if listed else None
+
+        def find(text: str) -> list[tuple]:
+            out: list[tuple] = []
+            for last, (n, lengths) in automaton.iter(text) if automaton else ():
+                at = last + 1 - n
+                if not _begins(text, at):
+                    continue
+                for size in lengths:
+                    end = at + size
+                    if end > len(text):
+                        break
+                    if size < LONG and (not _ends(text, end) or _wording(text, at, end)):
+                        continue
+                    value = text[at:end]
+                    if bitmap.passes_one(filled, _hash(value)):
+                        out.append((at, value, text[end:] if size == LONG else None, False))
+            for v in {v for v, _ in _self_evident(text, _signs(text.lower())) if not _placeholder(v)}:
+                out += [(at, v, None, True) for at, _ in spans(text, v)]
+            text_id = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if out else ""
+            return [(text_id, *x) for x in out]
 
         cache: dict[str, list] = {}
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_())
+        names = ["tab", "rec_id", "field", "text_id", "start", "value", "rest", "sure"]
         for b in batches:
             rows: list[tuple] = []
             for tab, rec, field, text in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -353,38 +421,44 @@ def _scan(texts: DataFrame, values: list[str], first: bool) -> DataFrame:
                     if len(cache) > 20_000:
                         cache.clear()
                     cache[text] = find(text)
-                rows += [(tab, rec, field, *v) for v in cache[text]]
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["tab", "rec_id", "field", "secret", "text_id", "starts"])
+                rows += [(tab, rec, field, *x) for x in cache[text]]
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    return texts.select("tab", "rec_id", "field", "text").mapInArrow(run, _HITS)
+
 
-    return texts.select("tab", "rec_id", "field", "text").mapInArrow(run, "tab string, rec_id long, field string, secret string, text_id string, starts array<int>")
+def _settled(hits: DataFrame, values: DataFrame) -> DataFrame:
+    """(tab, rec_id, field, text_id, start, secret): the hits that are confirmed values."""
+    place = ["tab", "rec_id", "field", "text_id", "start"]
+    sure = hits.where("sure").select(*place, F.col("value").alias("secret"))
+    v = values.select(F.substring("value", 1, LONG).alias("_head"), F.col("value").alias("secret"))
+    joined = hits.where("not sure").join(v, F.col("value") == F.col("_head"))
+    over = F.substring("secret", F.lit(LONG + 1), F.greatest(F.length("secret") - LONG, F.lit(0)))
+    after = F.substring("rest", F.length(over) + 1, F.lit(1))
+    stops = ~(after.rlike(r"(?U)\w") & F.substring("secret", -1, 1).rlike(r"(?U)\w"))
+    whole = F.col("rest").isNull() & (F.length("secret") < LONG) | (F.startswith("rest", over) & stops)
+    return sure.unionByName(joined.where(whole).select(*place, "secret"))
 
 
 def _own(found: DataFrame) -> DataFrame:
     """(tab, rec_id, field, secret), each once: a value within a longer one of the same text is not one of its own, unless it also
-    stands alone."""
-    all_of = found.groupBy("tab", "rec_id", "field").agg(F.collect_set(F.struct("secret", "text_id", "starts")).alias("f"))
-    longer = lambda w, v: (w["text_id"] == v["text_id"]) & (w["secret"] != v["secret"]) & F.contains(w["secret"], v["secret"])
-    covers = lambda w, v, at: F.exists(w["starts"], lambda a: (a <= at) & (at + F.length(v["secret"]) <= a + F.length(w["secret"])))
-    alone = lambda v: F.exists(v["starts"], lambda at: ~F.exists("f", lambda w: longer(w, v) & covers(w, v, at)))
-    own = F.filter("f", lambda v: ~F.exists("f", lambda w: longer(w, v)) | alone(v))
-    kept = F.when(F.size("f") > 1, own).otherwise(F.col("f"))
-    return all_of.select("tab", "rec_id", "field", F.explode(F.array_distinct(F.transform(kept, lambda v: v["secret"]))).alias("secret"))
+    stands alone. A place lies within a longer value if one that began no later ends no earlier."""
+    end = F.col("start") + F.length("secret")
+    places = found.distinct().withColumn("end", end)
+    before = Window.partitionBy("tab", "rec_id", "field", "text_id").orderBy("start", F.desc("end"), "secret").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max("end").over(before) >= F.col("end"), F.lit(False))
+    return places.withColumn("covered", covered).where("not covered").select("tab", "rec_id", "field", "secret").distinct()
 
 
 def find_secrets(texts: DataFrame, shared: int = SHARED_OWNERS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(tab, rec_id, field, secret) of every credential, each once per field."""
     index = cut(literal_index(texts))
     good = confirmed(index, shared).where(F.col("kind").isin(NAMED, BARE)).select("value")
-    size = good.agg(F.sum(F.length("value"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_chars))
-    found = None
-    for i in range(blocks):
-        values = good.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == i).toArrow()["value"].to_pylist()
-        one = _scan(texts, sorted(values), i == 0)
-        found = one if found is None else found.unionByName(one)
-    return _own(found)
+    n = good.count()
+    leaves = upper_levels(good, block_chars)[1] if n else []
+    hits = cut(_scan(texts, leaves, bitmap.build(_hashes(good), n)))
+    return _own(_settled(hits, good))
 
 
 def redact(df: DataFrame, found: DataFrame, tab: str, rec_id: str, fields: list[Field], mask: str = MASK) -> DataFrame:

@@ -130,6 +130,38 @@ def test_nested_values_are_no_rows_of_their_own_in_any_block(spark, block):
     assert got == sorted(want)
 
 
+def test_widely_shared_placeholders_and_rare_masks(spark):
+    rows = [(i, f"f{i}", '"-u a:letmein --insecure"') for i in range(20)] + [(100 + i, f"f{i}", '"-u a:lampstone --insecure"') for i in range(4)]
+    rows += [(200 + i, f"f{i}", '"-u a:***** --insecure"') for i in range(9)] + [(300, "f0", '"-u a:<secret> --insecure"'), (400, None, '"-u a:quartz77 --insecure"')]
+    t = S.fields_of(spark.createDataFrame(rows, "id long, file string, a string"), "t", "id", "file", [S.Field("a")])
+    assert {r.value: r.verdict for r in S.judged(S.literal_index(t)).collect()} == {"letmein": "shared", "lampstone": "confirmed", "*****": "shared", "<secret>": "unstructured", "quartz77": "confirmed"}
+    assert sorted((r.rec_id, r.secret) for r in S.find_secrets(t).collect()) == [(100, "lampstone"), (101, "lampstone"), (102, "lampstone"), (103, "lampstone"), (400, "quartz77")]
+
+
+@pytest.mark.parametrize("block", [1, 10**6])
+def test_long_values(spark, block):
+    a, b = "lamp stone 1 " * 20 + "x", "lamp stone 1 " * 20 + "y"
+    c = "q7" * 60  # as long as what is looked up
+    rows = [(1, "f", f'"-u a:{a}"'), (2, "f", f'CryptDecrypt ( A::b ; "{b}" )'), (3, "f", f"so {a}, {b}! {c}"), (4, "f", f"{a}z"), (5, "f", f'"-u a:{c}"'), (6, "f", f"{c}7"), (7, "f", a[:150])]
+    t = S.fields_of(spark.createDataFrame(rows, "id long, file string, a string"), "t", "id", "file", [S.Field("a")])
+    assert sorted((r.rec_id, r.secret) for r in S.find_secrets(t, block_chars=block).collect()) == sorted([(1, a), (2, b), (3, a), (3, b), (3, c), (5, c)])
+
+
+def test_a_million_values_in_one_scan(spark, monkeypatch):
+    scans = []
+    scan = S._scan
+    monkeypatch.setattr(S, "_scan", lambda texts, leaves, words: scans.append(sum(len(x) for x, _ in leaves)) or scan(texts, leaves, words))
+    n = 1_000_000
+    own = spark.range(n).select("id", F.lit("f").alias("file"), F.concat(F.lit("pw"), F.sha1(F.col("id").cast("string"))).substr(1, 14).alias("a"))
+    own = own.unionByName(spark.createDataFrame([(n, "f", "quartz12.amber.lamp77-stone"), (n + 1, "f", "lamp77-stone"), (n + 2, "f", "lamp77"), (n + 3, "f", "quartz12")], "id long, file string, a string"))
+    t = S.fields_of(own, "t", "id", "file", [S.Field("a", password=True)])
+    found = S.find_secrets(t).cache()
+    assert len(scans) == 1 and scans[0] <= 1.1 * S.BLOCK_CHARS
+    assert found.count() == n + 4 and sorted(r.secret for r in found.where(F.col("rec_id") >= n).collect()) == ["lamp77", "lamp77-stone", "quartz12", "quartz12.amber.lamp77-stone"]
+    assert found.join(own, [F.col("rec_id") == F.col("id"), F.col("secret") == F.col("a")]).count() == n + 4
+    found.unpersist()
+
+
 def test_redacted_rows(spark):
     df = spark.createDataFrame([(1, "f", 'x "-u a:lampstone2027 --insecure" y', None), (2, "f", None, "lampstone2027"), (3, "g", "nothing", "")], "id long, file string, a string, b string")
     fields = [S.Field("a"), S.Field("b", password=True)]
