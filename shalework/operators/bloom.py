@@ -11,9 +11,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2**20 words are 8 MB: what is sent to each executor at most.
-MAX_WORDS = 1 << 20
+#: 2**22 words are 32 MB, 16 bits for each of 16 million keys: what is sent to each executor at most.
+MAX_WORDS = 1 << 22
 BITS_PER_KEY = 16
+#: Words that are put together at once.
+BLOCK = 1 << 12
 
 
 def words_for(n_keys: int, max_words: int = MAX_WORDS) -> int:
@@ -35,15 +37,17 @@ def _mask(h: Column) -> Column:
 def build(keys: DataFrame, n_keys: int, max_words: int = MAX_WORDS) -> tuple[Column, int]:
     """``keys`` has one bigint column ``h``. Gives the filter as a scalar subquery (array<bigint>) and its word count."""
     n = words_for(n_keys, max_words)
-    empty = keys.sparkSession.range(n).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("bigint").alias("m"))
-    words = (
-        keys.select(_word(F.col("h"), n).alias("w"), _mask(F.col("h")).alias("m"))
-        .unionByName(empty)
-        .groupBy("w")
-        .agg(F.bit_or("m").alias("m"))
-    )
-    dense = words.agg(F.sort_array(F.collect_list(F.struct("w", "m"))).alias("a")).select(F.transform("a", lambda x: x["m"]).alias("a"))
-    return dense.scalar(), n
+    words = keys.select(_word(F.col("h"), n).alias("w"), _mask(F.col("h")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    # put together in two steps, so that no task handles the words one by one
+    size = min(n, BLOCK)
+    zero = F.lit(0).cast("bigint")
+    filled = F.map_from_entries(F.collect_list(F.struct((F.col("w") % size).alias("at"), "m")))
+    blocks = words.groupBy((F.col("w") / size).cast("int").alias("block")).agg(filled.alias("f"))
+    dense = blocks.select("block", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("f", i), zero)).alias("a"))
+    none = F.array_repeat(zero, size)
+    held = F.map_from_entries(F.collect_list(F.struct("block", "a")))
+    whole = dense.agg(held.alias("f")).select(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n // size - 1)), lambda i: F.coalesce(F.try_element_at("f", i), none))).alias("a"))
+    return whole.scalar(), n
 
 
 def might_contain(bloom: Column, n_words: int, h: Column) -> Column:

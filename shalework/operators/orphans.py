@@ -1,8 +1,9 @@
 """References to records that do not exist.
 
 A Bloom filter over the keys of all parents goes to every task. A reference whose key is not in the filter has no parent at
-any time: it is an orphan and is never shuffled. Only the references that pass the filter are joined, exactly and with the
-time condition, to the parents; those that find no parent alive at their time are orphans too.
+any time: it is an orphan, and nothing more is asked about it. Only the references that pass the filter are joined, exactly and with the
+time condition, to the parents; those that find no parent alive at their time are orphans too. The plan is the same at every size: the filter
+has 16 bits for each key up to 16 million keys, beyond that it lets more references into the join and never decides a case by itself.
 
 Defined results. A reference whose id is null, blank or ``0`` is none. One whose target file no parent table knows is out of
 scope. One without a time is never covered by a parent, so it is an orphan with a null period. A record that is delivered
@@ -12,13 +13,14 @@ Empty inputs give an empty result. Columns other than those named are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shalework.functions.text import blank, file_key, strip
 from shalework.operators import bloom
+from shalework.session import cut
 
-#: Parents up to this many rows (about 64 bytes each) are broadcast for the exact join; more are shuffled by key.
+#: Lives of parents up to this many (about 64 bytes each) are broadcast to the join of what passes the filter; more are shuffled by key.
 BROADCAST_ROWS = 250_000
 #: Files are known by name only; up to this many distinct ones are broadcast.
 BROADCAST_FILES = 100_000
@@ -47,40 +49,46 @@ def parent(df: DataFrame, tag: str) -> DataFrame:
     return df.select(F.lit(tag).alias("tag"), file_key(F.col("file")).alias("file"), strip(F.col("id")).alias("id"), "loaded_at", "deleted_at")
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, files: DataFrame, period: str = "yyyy-MM", max_words: int = bloom.MAX_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The references in ``refs`` without a living record in ``parents`` -> (tab, row_id, tag, period).
+def _key(last: str) -> Column:
+    return F.xxhash64("tag", "file", last)
 
-    ``files`` has the known target files in a column ``file``; it counts rows of parents of every kind.
-    """
+
+def filtered(refs: DataFrame, parents: DataFrame, files: DataFrame, max_words: int = bloom.MAX_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(references with ``maybe``: whether the filter lets them pass, the lives of all parents, each once)."""
     refs = refs.where(F.col("ref").isNotNull() & ~F.col("ref").isin("", "0"))
     known = files.select("file").where(F.col("file").isNotNull()).distinct()
     if known.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
         known = F.broadcast(known)
-    refs = refs.join(known, "file", "left_semi")
-
-    lives = parents.where(F.col("id").isNotNull() & F.col("file").isNotNull()).distinct()
-    n = lives.count()
-    key = lambda last: F.xxhash64("tag", "file", last)
-    bits, n_words = bloom.build(lives.select(key("id").alias("h")), n, max_words)
-    maybe = bloom.might_contain(bits, n_words, key("ref"))
-
-    if n <= broadcast_rows:
-        # nothing is shuffled, so one pass does: what the filter excludes has no key and is not looked up
-        spans = lives.groupBy(F.col("tag").alias("_tag"), F.col("file").alias("_file"), F.col("id").alias("_id")).agg(F.collect_list(F.struct("loaded_at", "deleted_at")).alias("spans"))
-        probe = (F.col("tag") == F.col("_tag")) & (F.col("file") == F.col("_file")) & (F.when(maybe, F.col("ref")) == F.col("_id"))
-        alive = F.exists("spans", lambda s: (s["loaded_at"] <= F.col("at")) & (s["deleted_at"].isNull() | (s["deleted_at"] > F.col("at"))))
-        orphans = refs.join(F.broadcast(spans), probe, "left").where(~F.coalesce(alive, F.lit(False)))
-        return orphans.select("tab", "row_id", "tag", F.date_format("at", period).alias("period")).distinct()
-
-    r, p = refs.where(maybe).alias("r"), lives.alias("p")
+    lives = cut(parents.where(F.col("id").isNotNull() & F.col("file").isNotNull()).distinct())
+    bits, n_words = bloom.build(lives.select(_key("id").alias("h")), lives.count(), max_words)
+    return refs.join(known, "file", "left_semi").withColumn("maybe", bloom.might_contain(bits, n_words, _key("ref"))), lives
+
+
+def find_orphans(refs: DataFrame, parents: DataFrame, files: DataFrame, period: str = "yyyy-MM", max_words: int = bloom.MAX_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The references in ``refs`` without a living record in ``parents`` -> (tab, row_id, tag, period).
+
+    ``files`` has the known target files in a column ``file``; it counts rows of parents of every kind.
+    """
+    refs, lives = filtered(refs, parents, files, max_words)
+    small = lives.limit(broadcast_rows + 1).count() <= broadcast_rows
+    r, p = refs.where("maybe").alias("r"), (F.broadcast(lives) if small else lives).alias("p")
     alive = (
         (F.col("r.tag") == F.col("p.tag")) & (F.col("r.file") == F.col("p.file")) & (F.col("r.ref") == F.col("p.id"))
         & (F.col("p.loaded_at") <= F.col("r.at")) & (F.col("p.deleted_at").isNull() | (F.col("p.deleted_at") > F.col("r.at")))
     )
-    orphans = refs.where(~maybe).unionByName(r.join(p, alive, "left_anti"))
+    orphans = refs.where("not maybe").unionByName(r.join(p, alive, "left_anti"))
     return orphans.select("tab", "row_id", "tag", F.date_format("at", period).alias("period")).distinct()
 
 
+def filter_report(refs: DataFrame, parents: DataFrame, files: DataFrame, max_words: int = bloom.MAX_WORDS) -> DataFrame:
+    """What the filter does: (tab, tag, refs, definite, joined, false_positives), the last those that pass although no parent has their key."""
+    refs, lives = filtered(refs, parents, files, max_words)
+    keys = lives.select("tag", "file", F.col("id").alias("ref")).distinct().withColumn("known", F.lit(True))
+    n = lambda c: F.count_if(c).alias
+    both = refs.join(keys, ["tag", "file", "ref"], "left")
+    return both.groupBy("tab", "tag").agg(F.count("*").alias("refs"), n(~F.col("maybe"))("definite"), n(F.col("maybe"))("joined"), n(F.col("maybe") & F.col("known").isNull())("false_positives"))
+
+
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """Counts by table, kind of target and period."""
     return orphans.groupBy("tab", "tag", "period").agg(F.count("*").alias("orphans"))
