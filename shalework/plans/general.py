@@ -46,7 +46,29 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
     """As p6_found with the record's path and its id and name."""
     r = nested.records(table(spark, d, "reports"), values=True)
-    return r.select("report_id", "entity", "rec_no", "parent_no", "path", F.col("attrs")["id"].alias("id"), F.col("attrs")["name"].alias("name"))
+    return r.select("report_id", "entity", "rec_no", "parent_no", "path", F.col("leaves")["@id"][0].alias("id"), F.col("leaves")["@name"][0].alias("name"))
+
+
+#: The tables of the repeated ancestors: entity, and the leaves that become columns.
+TABLES = {
+    "p6_tables": ("BaseTable", {"@id": "id", "@name": "name", "@records": "records"}),
+    "p6_fields": ("Field", {"@id": "id", "@name": "name", "@dataType": "data_type", "@fieldType": "field_type", "Comment": "comment", "Calculation": "calculation", "Storage@index": "storage_index", "AutoEnter@lookup": "lookup", "AutoEnter/Lookup/Field@name": "lookup_field"}),
+    "p6_occurrences": ("Table", {"@id": "id", "@name": "name", "@baseTable": "base_table", "BaseTable@name": "base_table_element", "FileReference@name": "external_file"}),
+    "p6_relationships": ("Relationship", {"@id": "id", "LeftTable@name": "left_table", "LeftTable@cascadeDelete": "left_delete", "RightTable@name": "right_table", "RightTable@cascadeDelete": "right_delete"}),
+    "p6_predicates": ("JoinPredicate", {"@type": "type", "LeftField/Field@table": "left_table", "LeftField/Field@name": "left_field", "RightField/Field@table": "right_table", "RightField/Field@name": "right_field"}),
+    "p6_layouts": ("Layout", {"@id": "id", "@name": "name", "@includeInMenu": "in_menu", "Table@name": "table_name"}),
+    "p6_objects": ("Object", {"@key": "key", "@type": "type", "@name": "name", "@flags": "flags", "FieldObj@displayType": "display_type", "FieldObj/DDRInfo/Field@table": "field_table", "FieldObj/DDRInfo/Field@name": "field_name", "ConditionalFormatting/Item/Condition/Calculation": "condition"}),
+    "p6_scripts": ("Script", {"@id": "id", "@name": "name", "@includeInMenu": "in_menu", "@runFullAccess": "full_access"}),
+    "p6_steps": ("Step", {"@id": "type_id", "@name": "name", "@enable": "enable", "StepText": "step_text", "Calculation": "calculation", "Script@id": "script_id", "Script@name": "script_name", "FileReference@name": "file_name"}),
+}
+
+
+def _table(entity: str, leaves: dict[str, str]):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.entity_table(nested.columns(table(spark, d, "reports")), entity, leaves, together=True)
+
+    query.__doc__ = f"The records of {entity} with the link to their parents and their values."
+    return query
 
 
 def p6_failures(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +76,7 @@ def p6_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_summary, p6_found, p6_records, p6_failures)}
+QUERIES |= {name: _table(*x) for name, x in TABLES.items()}
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _STRIP = lambda c: rf"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
