@@ -19,7 +19,7 @@ _SHIFTS = (0, 6, 12, 18, 24)
 
 def log_bits(n_keys: int, max_bits: int = MAX_BITS) -> int:
     """The logarithm of the map's size for so many keys."""
-    return min(max_bits, max(10, (max(1, n_keys) * BITS_PER_KEY - 1).bit_length()))
+    return max(7, min(max_bits, max(10, (max(1, n_keys) * BITS_PER_KEY - 1).bit_length())))
 
 
 def build(keys: DataFrame, n_keys: int, max_bits: int = MAX_BITS) -> np.ndarray:

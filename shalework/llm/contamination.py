@@ -4,13 +4,15 @@ A prefix-filtered set join. Both sides are reduced to letters and digits in lowe
 characters. A case is a run of at least ``run`` characters, hence a window of an item all of whose shingles lie in the
 document in order. The join needs one shingle of each window: the rarest in the corpus. So
 
-1. the items' shingles are counted over the whole corpus;
+1. the items' shingles are counted over the whole corpus: documents are scanned through a Bloom filter of them, and what passes is
+   joined to the shingles by hash;
 2. each window of each item keeps its rarest shingle as its prefix token (ties by hash, so windows that overlap share it);
-3. documents are scanned once more; where a prefix token occurs, the item is laid over the document at that place and the
-   run of equal characters round it is measured exactly. Windows that would reach over either end are ruled out by length.
+3. documents are scanned once more through a filter of the prefix tokens; a token that passes travels with the letters round it, as many as
+   a run through it could need, is joined to the items' tokens by hash, and the run of equal characters round it is measured exactly. What is too
+   near to either end to lie in a long enough run is ruled out by position.
 
-Only the items travel. They are indexed in blocks of bounded size; more items mean more blocks, each held against every
-document while its batch is in memory, so nothing that is sent grows beyond the bound.
+Items are a table like the documents: their shingles, counts and tokens never come together in one place. What is sent to every task is a filter
+of bounded size.
 
 Defined results. Null texts, and texts with fewer than ``run`` letters and digits, are in no case. Items with equal texts are
 each reported. A document that was delivered more than once is reported once.
@@ -24,14 +26,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shalework.llm import bitmap
+from shalework.session import cut
+
 #: Shingle length and shared run in letters and digits.
 Q, RUN = 20, 60
-#: Letters and digits of items in one block of the index (about 20 bytes each in memory).
-BLOCK_CHARS = 4_000_000
-
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -79,54 +81,36 @@ def shingle_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Filter:
-    """Which of many hashes are in a fixed set: a bitmap over some bits first, a binary search for what passes."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = np.unique(keys)
-        self.shift = np.uint64(64 - min(26, max(12, int(len(self.keys)).bit_length() + 5)))
-        self.bitmap = np.zeros(1 << int(64 - int(self.shift)), bool)
-        self.bitmap[(self.keys >> self.shift).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in hashes, places in keys) of the members."""
-        at = np.flatnonzero(self.bitmap[(hashes >> self.shift).astype(np.int64)])
-        i = np.searchsorted(self.keys, hashes[at])
-        i[i == len(self.keys)] = 0
-        hit = self.keys[i] == hashes[at] if len(self.keys) else np.zeros(len(at), bool)
-        return at[hit], i[hit]
+def _shingles(items: DataFrame, item_id: str, text_col: str, q: int, run: int) -> DataFrame:
+    """(item, h, letters): each item that is long enough, with the hashes of its shingles in order."""
+    kind = items.schema[item_id].dataType.simpleString()
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, hashes, letters = [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                points = letters_and_digits(text)
+                if len(points) >= run:
+                    keep.append(i)
+                    hashes.append(shingle_hashes(points, q).view(np.int64))
+                    letters.append(points.tobytes().decode("utf-32-le", "surrogatepass"))
+            yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), pa.array(hashes, pa.list_(pa.int64())), pa.array(letters, pa.string())], ["item", "h", "letters"])
 
-def _blocks(items: DataFrame, run: int, block_chars: int) -> list[list[tuple[int, np.ndarray]]]:
-    """Items with their letters and digits, in blocks of bounded size."""
-    blocks: list[list[tuple[int, np.ndarray]]] = []
-    room = 0
-    for r in items.toLocalIterator():
-        points = letters_and_digits(r[1]) if r[1] else np.zeros(0, np.uint32)
-        if len(points) < run:
-            continue
-        if not blocks or room < len(points):
-            blocks.append([])
-            room = block_chars
-        blocks[-1].append((r[0], points))
-        room -= len(points)
-    return blocks
+    return items.where(F.length(text_col) >= run).select(F.col(item_id), F.col(text_col)).distinct().mapInArrow(make, f"item {kind}, h array<bigint>, letters string")
 
 
-def _corpus_counts(documents: DataFrame, text_col: str, keys: list, q: int, min_chars: int) -> DataFrame:
-    """(h, n): in how many places of the corpus each item shingle occurs."""
+def _corpus_counts(documents: DataFrame, text_col: str, words, q: int, min_chars: int) -> DataFrame:
+    """(h, n): in how many places of the corpus each shingle occurs that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [Filter(k.value) for k in keys]
-        counts = [np.zeros(len(f.keys), np.int64) for f in filters]
+        filled = words.value
         for b in batches:
+            some = []
             for text in b.column(0):
                 h = shingle_hashes(letters_and_digits(text.as_py()), q)
-                for f, c in zip(filters, counts):
-                    np.add.at(c, f.find(h)[1], 1)
-        for f, c in zip(filters, counts):
-            some = c > 0
-            yield pa.record_batch([pa.array(f.keys[some].view(np.int64)), pa.array(c[some])], ["h", "n"])
+                some.append(h[bitmap.passes(filled, h)])
+            h, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     texts = documents.where(F.length(text_col) >= min_chars).select(text_col)
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -135,7 +119,10 @@ def _corpus_counts(documents: DataFrame, text_col: str, keys: list, q: int, min_
 def prefix_tokens(points: np.ndarray, counts: dict[int, int], q: int, run: int) -> np.ndarray:
     """Places of the item's necessary shingles: the rarest of each window of ``run`` characters."""
     h = shingle_hashes(points, q)
-    rank = np.array([counts.get(int(x), 0) for x in h.view(np.int64)], np.int64)
+    return _rarest(h, np.array([counts.get(int(x), 0) for x in h.view(np.int64)], np.int64), q, run)
+
+
+def _rarest(h: np.ndarray, rank: np.ndarray, q: int, run: int) -> np.ndarray:
     order = np.lexsort((h, rank))
     place = np.empty(len(h), np.int64)
     place[order] = np.arange(len(h))
@@ -144,57 +131,79 @@ def prefix_tokens(points: np.ndarray, counts: dict[int, int], q: int, run: int)
     return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
 
-def _matches(points: np.ndarray, item: np.ndarray, at: int, offset: int, run: int) -> bool:
-    """Whether the run of equal characters through document place ``at`` and item place ``offset`` is long enough."""
-    back = min(at, offset)
-    ahead = min(len(points) - at, len(item) - offset)
-    if back + ahead < run:
-        return False
-    equal = points[at - back : at + ahead] == item[offset - back : offset + ahead]
-    miss = np.flatnonzero(~equal)
-    i = np.searchsorted(miss, back)
-    start = miss[i - 1] + 1 if i else 0
-    stop = miss[i] if i < len(miss) else len(equal)
-    return stop - start >= run
+def _tokens(items: DataFrame, counts: DataFrame, q: int, run: int) -> DataFrame:
+    """(h, item, back, around): the prefix tokens of every item with the letters round each, ``back`` of them in front of it."""
+    one = items.select("item", "letters", F.posexplode("h").alias("at", "h")).join(counts, "h", "left")
+    # an item is one text: the places of its shingles fit where the text did
+    per = one.groupBy("item", "letters").agg(F.sort_array(F.collect_list(F.struct("at", "h", F.coalesce("n", F.lit(0)).alias("n")))).alias("s")).select("item", "letters", F.col("s.h").alias("h"), F.col("s.n").alias("n"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, tokens, back, around = [], [], [], []
+            for i, (text, h, n) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))):
+                hashes = np.array(h, np.int64)
+                for at in _rarest(hashes.view(np.uint64), np.array(n, np.int64), q, run).tolist():
+                    of.append(i)
+                    tokens.append(h[at])
+                    back.append(min(at, run - q))
+                    around.append(text[max(0, at - run + q) : at + run])
+            yield pa.record_batch([pa.array(tokens, pa.int64()), b.column(0).take(pa.array(of, pa.int64())), pa.array(back, pa.int32()), pa.array(around, pa.string())], ["h", "item", "back", "around"])
+
+    return per.mapInArrow(choose, f"h long, item {items.schema['item'].dataType.simpleString()}, back int, around string")
+
+
+def _runs(a: list[str], a_back: np.ndarray, b: list[str], b_back: np.ndarray, q: int, run: int) -> np.ndarray:
+    """How many characters are equal round the token in each pair of neighbourhoods; 0 where the token differs."""
+    wide = 2 * run - q
 
+    def rows(texts: list[str], back: np.ndarray, fill: int) -> np.ndarray:
+        out = np.full((len(texts), wide), fill, np.uint32)
+        for i, (t, k) in enumerate(zip(texts, back.tolist())):
+            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            out[i, run - q - k : run - q - k + len(points)] = points
+        return out
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", q: int = Q, run: int = RUN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    same = rows(a, a_back, 0) == rows(b, b_back, 0xFFFFFFFF)
+    ahead = np.cumprod(same[:, run - q :], axis=1).sum(axis=1)
+    behind = np.cumprod(same[:, : run - q][:, ::-1], axis=1).sum(axis=1)
+    return np.where(ahead >= q, ahead + behind, 0)
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", q: int = Q, run: int = RUN, max_bits: int = bitmap.MAX_BITS) -> DataFrame:
     """(doc_id, item_id) of every document and the items it shares a run of at least ``run`` letters and digits with."""
-    spark: SparkSession = documents.sparkSession
-    sc = spark.sparkContext
-    doc_kind, item_kind = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    result = f"{doc_id} {doc_kind}, {item_id} {item_kind}"
-    blocks = _blocks(items.where(F.length(text_col) >= run).select(item_id, text_col).distinct(), run, block_chars)
-    if not blocks:
-        return spark.createDataFrame([], result)
-    keys = [np.unique(np.concatenate([shingle_hashes(p, q) for _, p in block])) for block in blocks]
-    counted = _corpus_counts(documents, text_col, [sc.broadcast(k) for k in keys], q, run).toArrow()
-    counts = dict(zip(counted["h"].to_pylist(), counted["n"].to_pylist()))
-
-    index = []
-    for block in blocks:
-        tokens = [(h, i, o) for i, (_, p) in enumerate(block) for hs in [shingle_hashes(p, q)] for o in prefix_tokens(p, counts, q, run) for h in [hs[o]]]
-        h = np.array([t[0] for t in tokens], np.uint64)
-        order = np.argsort(h, kind="stable")
-        index.append(sc.broadcast((h[order], np.array([t[1] for t in tokens], np.int32)[order], np.array([t[2] for t in tokens], np.int32)[order], block)))
+    sc = documents.sparkSession.sparkContext
+    kind = documents.schema[doc_id].dataType.simpleString()
+    shingled = cut(_shingles(items, item_id, text_col, q, run))
+    keys = cut(shingled.select(F.explode("h").alias("h")).distinct())
+    first = sc.broadcast(bitmap.build(keys, keys.count(), max_bits))
+    counts = _corpus_counts(documents, text_col, first, q, run).join(keys, "h", "left_semi")
+    tokens = cut(_tokens(shingled, counts, q, run))
+    needed = tokens.select("h").distinct()
+    second = sc.broadcast(bitmap.build(needed, needed.count(), max_bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(Filter(x.value[0]), *x.value) for x in index]
+        filled = second.value
         for b in batches:
-            docs, found = [], []
-            for did, text in zip(b.column(0).to_pylist(), b.column(1)):
+            of, tokens, back, around = [], [], [], []
+            for i, text in enumerate(b.column(1)):
                 points = letters_and_digits(text.as_py())
-                hashes = shingle_hashes(points, q)
-                for f, h, item_no, offset, block in held:
-                    cases = set()
-                    for at, k in zip(*f.find(hashes)):
-                        lo, hi = np.searchsorted(h, f.keys[k], "left"), np.searchsorted(h, f.keys[k], "right")
-                        for t in range(lo, hi):
-                            i = int(item_no[t])
-                            if i not in cases and _matches(points, block[i][1], int(at), int(offset[t]), run):
-                                cases.add(i)
-                    docs += [did] * len(cases)
-                    found += [block[i][0] for i in cases]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array(found)] if found else [pa.array([], b.schema.field(0).type), pa.array([], pa.int64())], [doc_id, item_id])
-
-    return documents.where(F.length(text_col) >= run).select(doc_id, text_col).mapInArrow(scan, result).distinct()
+                h = shingle_hashes(points, q)
+                for at in np.flatnonzero(bitmap.passes(filled, h)).tolist():
+                    of.append(i)
+                    tokens.append(int(h[at].view(np.int64)))
+                    back.append(min(at, run - q))
+                    around.append(points[max(0, at - run + q) : at + run].tobytes().decode("utf-32-le", "surrogatepass"))
+            rows = b.column(0).take(pa.array(of, pa.int64()))
+            yield pa.record_batch([pa.array(tokens, pa.int64()), rows, pa.array(back, pa.int32()), pa.array(around, pa.string())], ["h", "doc", "doc_back", "doc_around"])
+
+    hits = documents.where(F.length(text_col) >= run).select(doc_id, text_col).mapInArrow(scan, f"h long, doc {kind}, doc_back int, doc_around string")
+    # copies of a passage are compared once for each document only; both ends must leave room for the run
+    pairs = hits.where(F.length("doc_around") >= run).distinct().join(tokens.where(F.length("around") >= run), "h")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            long = _runs(b.column(2).to_pylist(), np.asarray(b.column(3)), b.column(4).to_pylist(), np.asarray(b.column(5)), q, run) >= run
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(long)) for c in b.columns[:2]], [doc_id, item_id])
+
+    found = pairs.select("doc", "item", "doc_around", "doc_back", "around", "back").mapInArrow(verify, f"{doc_id} {kind}, {item_id} {items.schema[item_id].dataType.simpleString()}")
+    return found.distinct()

@@ -23,8 +23,8 @@ def leaks_by_hand(docs, items, run=60):
     return out
 
 
-@pytest.mark.parametrize("block", [100, 4_000_000])
-def test_leaks_equal_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [6, 10, 28])
+def test_leaks_equal_brute_force(spark, bits):
     rnd = random.Random(2)
     text = lambda n: "".join(rnd.choice("abcdeé日本 語,.-1 2\n") for _ in range(n))
     items = [(i, text(rnd.randint(20, 400))) for i in range(40)] + [(100, None), (101, ""), (102, "x" * 300), (103, "ab" * 200)]
@@ -38,11 +38,20 @@ def test_leaks_equal_brute_force(spark, block):
     docs.append(docs[-1])
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     i = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    got = [tuple(r) for r in contamination.leaks(d, i, block_chars=block).collect()]
+    got = [tuple(r) for r in contamination.leaks(d, i, max_bits=bits).collect()]
     want = leaks_by_hand(docs, items)
     assert len(want) > 40 and set(got) == want and len(got) == len(want)
 
 
+def test_leaks_of_very_many_items(spark):
+    """The items are a table: 100,000 of them, each document quotes one."""
+    text = lambda c, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.sha1(F.concat_ws("-", c.cast("string"), k.cast("string")))), " ")
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), text(F.col("id"), 3).alias("text"))
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("So: "), F.upper(F.substring(text(F.col("id") * 33, 3), 20, 70)), F.lit(" ends.")).alias("text"))
+    got = contamination.leaks(docs, items)
+    assert got.where("item_id = 33 * doc_id").count() == got.count() == 3_000
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
