@@ -75,6 +75,21 @@ def test_burst_trie_counts():
     assert {term: (o, r) for term, o, r in t.leaves()} == {x: (2 * k, k) for x, k in n.items()} and t.size == len(n)
 
 
+@pytest.mark.parametrize("subtree", [1, 7, 10**6])
+def test_subtrees_of_many_tries_are_merged(spark, subtree):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("fg"), "aaaa" + "".join(rnd.choice("ab0é日") for _ in range(rnd.randint(0, 5))), rnd.randint(1, 3)) for _ in range(3000)] + [("f", "", 1), ("f", None, 1), ("f", None, 1)]
+    terms = spark.createDataFrame(rows, "field string, term string, n int").repartition(5)
+    want = Counter()
+    for f, t, n in rows:
+        want[f, t] += n
+    got = frequency.term_counts(terms, container=4, trie_terms=50, subtree=subtree).collect()
+    assert {(r.field, r.term): r.occurrences for r in got} == want and len(got) == len(want)
+    assert sum(r.records for r in got) == len(rows)
+    nodes = frequency.split_prefixes(terms.where("term is not null"), subtree)
+    assert bool(nodes) == (subtree < 10**6) and (subtree > 1 or ("f", "aaaa") in nodes)
+
+
 OBJECTS = "obj_id long, flags string, display_type string, button_flags string, cond_ops array<string>, received_at timestamp_ntz, field string, term string, n int"
 
 
