@@ -39,10 +39,15 @@ def build(keys: DataFrame, n_keys: int, max_bits: int = MAX_BITS) -> np.ndarray:
 def passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which of the hashes (uint64) may be keys."""
     shift = np.uint64(64 - (len(words).bit_length() - 1))
-    mask = np.zeros(len(h), np.uint64)
-    for s in _SHIFTS:
-        mask |= np.uint64(1) << ((h >> np.uint64(s)) & np.uint64(63))
-    return words[(h >> shift).astype(np.int64)] & mask == mask
+    out = (words[(h >> shift).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
+    left = np.flatnonzero(out)  # few pass the first bit
+    if len(left):
+        some = h[left]
+        mask = np.zeros(len(some), np.uint64)
+        for s in _SHIFTS[1:]:
+            mask |= np.uint64(1) << ((some >> np.uint64(s)) & np.uint64(63))
+        out[left] = words[(some >> shift).astype(np.int64)] & mask == mask
+    return out
 
 
 def passes_one(words: np.ndarray, h: int) -> bool:

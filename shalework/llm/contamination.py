@@ -7,9 +7,9 @@ document in order. The join needs one shingle of each window: the rarest in the
 1. the items' shingles are counted over the whole corpus: documents are scanned through a Bloom filter of them, and what passes is
    joined to the shingles by hash;
 2. each window of each item keeps its rarest shingle as its prefix token (ties by hash, so windows that overlap share it);
-3. documents are scanned once more through a filter of the prefix tokens; a token that passes travels with the letters round it, as many as
-   a run through it could need, is joined to the items' tokens by hash, and the run of equal characters round it is measured exactly. What is too
-   near to either end to lie in a long enough run is ruled out by position.
+3. documents are scanned once more. A long enough run has that many shingles of items one after the other, so stretches in which fewer pass the
+   filter are ruled out; in the others a prefix token travels with the letters round it, as many as
+   a run through it could need, is joined to the items' tokens by hash, and the run of equal characters round it is measured exactly.
 
 Items are a table like the documents: their shingles, counts and tokens never come together in one place. What is sent to every task is a filter
 of bounded size.
@@ -152,6 +152,14 @@ def _tokens(items: DataFrame, counts: DataFrame, q: int, run: int) -> DataFrame:
     return per.mapInArrow(choose, f"h long, item {items.schema['item'].dataType.simpleString()}, back int, around string")
 
 
+def _stretches(hit: np.ndarray, least: int) -> np.ndarray:
+    """The places that lie in a stretch of at least so many hits."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    starts, stops = edges[::2], edges[1::2]
+    long = stops - starts >= least
+    return np.concatenate([np.arange(a, z) for a, z in zip(starts[long], stops[long])]) if long.any() else np.zeros(0, np.int64)
+
+
 def _runs(a: list[str], a_back: np.ndarray, b: list[str], b_back: np.ndarray, q: int, run: int) -> np.ndarray:
     """How many characters are equal round the token in each pair of neighbourhoods; 0 where the token differs."""
     wide = 2 * run - q
@@ -182,13 +190,14 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     second = sc.broadcast(bitmap.build(needed, needed.count(), max_bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = second.value
+        whole, filled = first.value, second.value
         for b in batches:
             of, tokens, back, around = [], [], [], []
             for i, text in enumerate(b.column(1)):
                 points = letters_and_digits(text.as_py())
                 h = shingle_hashes(points, q)
-                for at in np.flatnonzero(bitmap.passes(filled, h)).tolist():
+                places = _stretches(bitmap.passes(whole, h), run - q + 1)
+                for at in places[bitmap.passes(filled, h[places])].tolist():
                     of.append(i)
                     tokens.append(int(h[at].view(np.int64)))
                     back.append(min(at, run - q))
