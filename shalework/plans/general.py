@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shalework.functions.text import file_key
 from shalework.operators import nested, orphans, snapshots
+from shalework.plans import xml_sql
 from shalework.session import table
 
 
@@ -114,5 +115,8 @@ SQL = {
     "p1_found": _P1,
     "p1_report": f"SELECT tab, tag, period, count(*) AS orphans FROM ({_P1}) GROUP BY ALL",
     "p2_found": _P2,
+    "p6_found": xml_sql.records("SELECT CAST(doc AS BIGINT) AS report_id, tag AS entity, rec_no, parent_no FROM rc"),
+    "p6_records": xml_sql.records(f"""SELECT CAST(doc AS BIGINT) AS report_id, tag AS entity, rec_no, parent_no, coalesce((SELECT string_agg(p.tag, '/' ORDER BY p.pre) FROM rec p WHERE p.doc = rc.doc AND list_contains(rc.pres, p.pre)) || '/', '') || tag AS path, {xml_sql.attr("id")} AS id, {xml_sql.attr("name")} AS name FROM rc"""),
+    **{name: xml_sql.entity_table(*x) for name, x in TABLES.items()},
     "p2_summary": f"SELECT snapshot_no, delta, count(*) AS paths FROM ({_P2}) GROUP BY ALL",
 }

@@ -19,12 +19,35 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return nested.latest(table(spark, d, "reports")).select(F.col("report_id").cast("string").alias("doc"), F.col("body").alias("text"))
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The node table, written once: a query reads the columns and elements it needs from it as often as it likes.
+def delivered(nodes: DataFrame, received: DataFrame | None = None) -> DataFrame:
+    """The nodes of the file elements that were delivered last, one for each file name: the set in which references are resolved.
+
+    ``received`` (doc, at) are the times of the documents; among equal ones the greater document counts, then the later element. What lies outside
+    of files is left out, except for the roots of documents."""
+    own = nodes.where((F.col("tag") == "File") & (F.col("depth") == 1)).select("doc", F.col("pre").alias("file_pre"), "file")
+    if received is not None:
+        own = own.join(received.select("doc", F.col("at").alias("_at")), "doc", "left")
+    else:
+        own = own.withColumn("_at", F.lit(None).cast("timestamp_ntz"))
+    number = F.col("doc").try_cast("bigint")
+    best = own.groupBy("file").agg(F.max(F.struct(F.col("_at").isNotNull(), "_at", number.alias("n"), "doc", "file_pre")).alias("b")).select(F.col("b.doc").alias("_doc"), F.col("b.file_pre").alias("_file"))
+    at = F.when(F.col("depth") == 1, F.col("pre")).otherwise(F.try_element_at("anc", F.lit(2))["pre"])
+    return nodes.join(best, (F.col("doc") == F.col("_doc")) & (at == F.col("_file")), "left").where("_file is not null or depth = 0").drop("_doc", "_file")
+
 
-    Several reports may describe one file; each is taken as a file of its own, so that their ids stay apart."""
-    n = R.shred(documents(spark, d)).withColumn("file", F.when(F.col("file").isNotNull(), F.concat("file", F.lit("@"), "doc")))
-    return written(n, "nodes")
+_written: dict[tuple, DataFrame] = {}
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The node table of the delivered files. It is written once for a session and a state of the table's files: a query reads the columns and
+    elements it needs from it as often as it likes."""
+    reports = table(spark, d, "reports")
+    files = reports.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().agg(F.sum(F.xxhash64("file_path", "file_modification_time", "file_size").cast("decimal(38,0)"))).first()[0]
+    key = (spark.sparkContext.applicationId, d, files)
+    if key not in _written:
+        times = reports.groupBy(F.col("report_id").cast("string").alias("doc")).agg(F.max("received_at").alias("at"))
+        _written[key] = written(delivered(written(R.shred(documents(spark, d)), "nodes"), times), "delivered")
+    return _written[key]
 
 
 def _flat(df: DataFrame) -> DataFrame:
