@@ -103,12 +103,12 @@ def _corpus_counts(documents: DataFrame, text_col: str, words, q: int, min_chars
     """(h, n): in how many places of the corpus each shingle occurs that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = words.value
+        filled = bitmap.Map(words.value)
         for b in batches:
             some = []
             for text in b.column(0):
                 h = shingle_hashes(letters_and_digits(text.as_py()), q)
-                some.append(h[bitmap.passes(filled, h)])
+                some.append(h[filled.passes(h)])
             h, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -190,14 +190,14 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     second = sc.broadcast(bitmap.build(needed, needed.count(), max_bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, filled = first.value, second.value
+        whole, filled = bitmap.Map(first.value), bitmap.Map(second.value)
         for b in batches:
             of, tokens, back, around = [], [], [], []
             for i, text in enumerate(b.column(1)):
                 points = letters_and_digits(text.as_py())
                 h = shingle_hashes(points, q)
-                places = _stretches(bitmap.passes(whole, h), run - q + 1)
-                for at in places[bitmap.passes(filled, h[places])].tolist():
+                places = _stretches(whole.passes(h), run - q + 1)
+                for at in places[filled.passes(h[places])].tolist():
                     of.append(i)
                     tokens.append(int(h[at].view(np.int64)))
                     back.append(min(at, run - q))

@@ -388,7 +388,8 @@ def _scan(texts: DataFrame, leaves: list[tuple[str, int]], words: np.ndarray) ->
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, filled = sent.value
+        listed, words = sent.value
+        filled = bitmap.Map(words)
         automaton = _automaton(name, listed) if listed else None
 
         def find(text: str) -> list[tuple]:
@@ -404,7 +405,7 @@ def _scan(texts: DataFrame, leaves: list[tuple[str, int]], words: np.ndarray) ->
                     if size < LONG and (not _ends(text, end) or _wording(text, at, end)):
                         continue
                     value = text[at:end]
-                    if bitmap.passes_one(filled, _hash(value)):
+                    if filled.passes_one(_hash(value)):
                         out.append((at, value, text[end:] if size == LONG else None, False))
             for v in {v for v, _ in _self_evident(text, _signs(text.lower())) if not _placeholder(v)}:
                 out += [(at, v, None, True) for at, _ in spans(text, v)]
