@@ -118,7 +118,7 @@ def slug(c: Column, limit: int = 60, max_bytes: int = 200) -> Column:
 
 def css_props(c: Column) -> Column:
     """The lines of a style sheet that end in a semicolon, joined by blanks."""
-    kept = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: F.endswith(x, F.lit(";")))
+    kept = F.filter(F.transform(lines_of(c), strip), lambda x: F.endswith(x, F.lit(";")))
     return F.array_join(kept, " ")
 
 
@@ -136,20 +136,18 @@ def path_target(c: Column) -> Column:
 
 
 def char_of(c: Column) -> Column:
-    """The character of a decimal code: ``''`` for 0, null and non-numbers; ``U+XXXX`` for what is no character."""
-    return _char(c)
+    """The character of a decimal code: ``''`` for 0, null and non-numbers; ``U+XXXX`` for what is no character.
 
+    A code becomes the bytes of its UTF-32 form, which Spark decodes."""
+    digits = F.when(strip(c).rlike("^[0-9]+$"), F.regexp_replace(strip(c), "^0+", ""))
+    hexa = F.conv(digits, 10, 16)
+    n = F.when(F.length(digits) <= 7, digits.try_cast("int"))
+    char = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(hexa, 8, "0"))), "UTF-32")  # behind a byte order mark, so that a code may be one itself
+    none = n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(F.coalesce(digits, F.lit("")) == "", "").when(none, F.concat(F.lit("U+"), F.lpad(hexa, F.greatest(F.lit(4), F.length(hexa)), F.lit("0")))).otherwise(char)
 
-@F.pandas_udf(T.StringType())
-def _char(s: pd.Series) -> pd.Series:
-    def one(x: object) -> str:
-        t = "" if x is None or x != x else str(x).strip()
-        if not (t.isascii() and t.isdigit()) or int(t) == 0:
-            return ""
-        n = int(t)
-        return f"U+{n:04X}" if 0xD800 <= n <= 0xDFFF or n > 0x10FFFF else chr(n)
 
-    return s.map(one)
+char_code = char_of
 
 
 def snake(c: Column) -> Column:
@@ -162,8 +160,8 @@ def snake(c: Column) -> Column:
 
 # --- calculation text -------------------------------------------------------------------------------------------
 
-#: What is not code in a calculation: straight and curly strings, line and block comments, each allowed to end with the
-#: text. The string branch is unrolled, since a repeated alternation overflows the regex stack on long literals.
+#: Fixed value: what is not code in a calculation, by the grammar of the language: straight strings with escapes, curly strings, line and
+#: block comments, each allowed to end with the text. The string branch is unrolled, since a repeated alternation overflows the regex stack on long literals.
 NOT_CODE = r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"?|“[^”]*”?|//[^\n\r]*|/\*[\s\S]*?(?:\*/|\z)'
 
 #: Fixed value: how a reference without a target is printed in a calculation, its occurrence in front where one is shown.

@@ -124,11 +124,11 @@ BUCKETS = ("missing", "extra", "duplicates", "wrong_hash", "wrong_file")
 def check_coverage(entries: DataFrame, observed: DataFrame, output_files: DataFrame | None = None) -> int:
     """The number of objects proven to be covered exactly once; an error with the counts and a first sample otherwise."""
     if observed.isEmpty() and not entries.isEmpty():
-        raise ContractError("no classification rows found")
+        raise ContractError("there are no classification rows to hold against the catalog (no classification)")
     found = {r["bucket"]: r for r in coverage(entries, observed, output_files).groupBy("bucket").agg(F.sum("times").alias("n"), F.min("source_id").alias("first")).collect()}
     if found:
         counts = ", ".join(f"{b}={found[b]['n'] if b in found else 0}" for b in BUCKETS)
-        raise ContractError(f"classification coverage failed: {counts} (first: {next(found[b]['first'] for b in BUCKETS if b in found)})")
+        raise ContractError(f"objects are not covered exactly once; rows by problem: {counts}; for example {next(found[b]['first'] for b in BUCKETS if b in found)}")
     return (entries if output_files is None else entries.join(output_files.select("output_file").distinct(), "output_file", "left_semi")).count()
 
 

@@ -112,20 +112,28 @@ def function_collisions(nodes: DataFrame) -> DataFrame:
     return f.select("file", "name", F.lower("name").alias("_k")).join(used.unionByName(params).distinct(), ["file", "_k"]).select("file", "name", "with").distinct()
 
 
-def recursive_functions(nodes: DataFrame, rounds: int = 30) -> DataFrame:
-    """(file, name): functions that reach themselves. Paths are doubled each round, so ``rounds`` bounds the logarithm of a cycle."""
+def recursive_functions(nodes: DataFrame, rounds: int = 40) -> DataFrame:
+    """(file, name): functions that reach themselves. Paths are doubled each round, so ``rounds`` bounds the logarithm of a cycle; an error
+    beyond. First only functions stay that are called by and call one that stays: what is on no way from a cycle to a cycle falls away."""
     edge = function_calls(nodes).where("custom and h_kind = 'custom-functions'")
     names = E.custom_functions(nodes).select("file", F.col("id").alias("h_id"), F.col("name").alias("a"))
     e = cut(edge.join(names, ["file", "h_id"]).select("file", "a", F.col("function").alias("b")).distinct())
     n = e.count()
+    while n:
+        called, calls = e.select("file", F.col("b").alias("a")).distinct(), e.select("file", F.col("a").alias("b")).distinct()
+        e = cut(e.join(called, ["file", "a"], "left_semi").join(calls, ["file", "b"], "left_semi").select("file", "a", "b"))
+        m = e.count()
+        if m == n:
+            break
+        n = m
     for _ in range(rounds):
         step = e.select("file", F.col("a").alias("b"), F.col("b").alias("c"))
         e = cut(e.unionByName(e.join(step, ["file", "b"]).select("file", "a", F.col("c").alias("b"))).distinct())
         m = e.count()
         if m == n:
-            break
+            return e.where("a = b").select("file", F.col("a").alias("name"))
         n = m
-    return e.where("a = b").select("file", F.col("a").alias("name"))
+    raise RuntimeError("the calls of functions did not settle")
 
 
 def duplicate_functions(nodes: DataFrame) -> DataFrame:
@@ -180,11 +188,11 @@ def relationship_meaning(nodes: DataFrame) -> DataFrame:
     rel = E.relationships(nodes)
     p = E.predicates(nodes).join(rel.select(F.col("doc").alias("_d"), F.col("pre").alias("_p"), "left_table", "right_table", F.col("id").alias("rel_id")), (F.col("doc") == F.col("_d")) & (F.col("rel_pre") == F.col("_p")))
     tos = base_tables(nodes)
-    one = tos.groupBy(F.col("file").alias("_f"), F.col("to_name").alias("_t")).agg(F.first(F.struct("base_file", "base_table_id")).alias("base"))
+    one = tos.groupBy(F.col("file").alias("_f"), F.col("to_name").alias("_t")).agg(F.min(F.struct("base_file", "base_table_id")).alias("base"))
     f = E.fields(nodes)
     fixed = F.coalesce(F.col("auto_enter.value") == "ConstantData", F.lit(False)) | F.coalesce(F.trim("calculation").rlike(r'^(-?\d+(\.\d+)?|"[^"]*")$'), F.lit(False))
     unique = F.coalesce("unique", F.lit(False))
-    known = f.groupBy(F.col("file").alias("_ff"), F.col("table_id").alias("_ti"), F.col("name").alias("_fn")).agg(F.first(F.struct(fixed.alias("fixed"), F.coalesce("global", F.lit(False)).alias("global"), unique.alias("unique"))).alias("f"))
+    known = f.groupBy(F.col("file").alias("_ff"), F.col("table_id").alias("_ti"), F.col("name").alias("_fn")).agg(F.min(F.struct(fixed.alias("fixed"), F.coalesce("global", F.lit(False)).alias("global"), unique.alias("unique"))).alias("f"))
     for side in ("left", "right"):
         p = p.join(one.select(F.col("_f"), F.col("_t"), F.col("base").alias(f"{side}_base")), (F.col("file") == F.col("_f")) & (F.col(f"{side}_table") == F.col("_t")), "left").drop("_f", "_t")
         p = p.join(known.withColumnRenamed("f", f"{side}_f"), (F.col(f"{side}_base.base_file") == F.col("_ff")) & (F.col(f"{side}_base.base_table_id") == F.col("_ti")) & (F.col(f"{side}_field") == F.col("_fn")), "left").drop("_ff", "_ti", "_fn")

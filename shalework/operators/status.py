@@ -6,10 +6,8 @@ set). Definitions are not references. Every check is an equi-join on (file, kind
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shalework.functions.text import live_markers, strip
 from shalework.operators import entities as E
@@ -60,7 +58,7 @@ def base_tables(nodes: DataFrame) -> DataFrame:
     """(file, to_name, to_id, base_file, base_table_id): base_file null where the occurrence's file is not in the set."""
     known = nodes.where((F.col("tag") == "File") & (F.col("depth") == 1)).select("file").distinct()
     sources = resolve_sources(E.data_sources(nodes).where("type = 'filemaker'").select("file", "id", "name", "paths"), known)
-    s = sources.groupBy(F.col("file").alias("_f"), F.col("id").alias("_i")).agg(F.first("to.resolved_to").alias("target"))
+    s = sources.groupBy(F.col("file").alias("_f"), F.col("id").alias("_i")).agg(F.min("to.resolved_to").alias("target"))
     o = E.occurrences(nodes).join(s, (F.col("file") == F.col("_f")) & (F.col("external_file.id") == F.col("_i")), "left")
     return o.select("file", F.col("name").alias("to_name"), F.col("id").alias("to_id"), F.when(F.col("external_file").isNull(), F.col("file")).otherwise(F.col("target")).alias("base_file"), "base_table_id")
 
@@ -77,7 +75,7 @@ def reference_rows(nodes: DataFrame) -> DataFrame:
 
     known = nodes.where((F.col("tag") == "File") & (F.col("depth") == 1)).select("file").distinct()
     sources = resolve_sources(E.data_sources(nodes).where("type = 'filemaker'").select("file", "id", "name", "paths"), known)
-    eds = sources.groupBy(F.col("file").alias("_f"), F.col("id").alias("_i")).agg(F.first("to.resolved_to").alias("target"))
+    eds = sources.groupBy(F.col("file").alias("_f"), F.col("id").alias("_i")).agg(F.min("to.resolved_to").alias("target"))
     beside = nodes.where(F.col("tag") == "FileReference").groupBy(F.col("doc").alias("_d"), F.col("parent").alias("_p")).agg(F.min_by(F.struct(F.coalesce(oid, F.lit("")).alias("id")), "pos").alias("fr"))
     elsewhere = F.col("tag").isin("Script", "Layout", "ValueList")
     c = c.join(beside, elsewhere & (F.col("doc") == F.col("_d")) & (F.col("parent") == F.col("_p")), "left").drop("_d", "_p")
@@ -87,11 +85,11 @@ def reference_rows(nodes: DataFrame) -> DataFrame:
     ids = id_catalog(nodes).select(F.col("file").alias("_f"), F.col("kind").alias("_k"), F.col("id").alias("_i"), "is_id", "is_separator", "is_folder")
     c = c.join(ids, (F.col("target_file") == F.col("_f")) & (F.col("tag") == F.col("_k")) & (F.col("id") == F.col("_i")), "left").drop("_f", "_k", "_i")
     tos = base_tables(nodes)
-    by_name = tos.groupBy(F.col("file").alias("_f"), F.col("to_name").alias("_t")).agg(F.first(F.struct("base_file", "base_table_id")).alias("to"))
+    by_name = tos.groupBy(F.col("file").alias("_f"), F.col("to_name").alias("_t")).agg(F.min(F.struct("base_file", "base_table_id")).alias("to"))
     c = c.join(by_name, (F.col("file") == F.col("_f")) & (F.when(F.col("tag") == "Field", F.col("table")).when(F.col("tag").isin("LeftTable", "RightTable"), F.col("name")) == F.col("_t")), "left").drop("_f", "_t")
     # a field reference names its occurrence by an element of its own
     inner = nodes.where((F.col("tag") == "TableOccurrenceReference") & (parent_tag() == "FieldReference")).groupBy(F.col("doc").alias("_d"), F.col("parent").alias("_p")).agg(F.min_by(oid, "pos").alias("to_ref"))
-    by_id = tos.groupBy(F.col("file").alias("_f"), F.col("to_id").alias("_t")).agg(F.first(F.struct("base_file", "base_table_id")).alias("to2"))
+    by_id = tos.groupBy(F.col("file").alias("_f"), F.col("to_id").alias("_t")).agg(F.min(F.struct("base_file", "base_table_id")).alias("to2"))
     c = c.join(inner, (F.col("tag") == "FieldReference") & (F.col("doc") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left").drop("_d", "_p")
     c = c.join(by_id, (F.col("file") == F.col("_f")) & (F.col("to_ref") == F.col("_t")), "left").drop("_f", "_t").withColumn("base", F.coalesce("to", "to2"))
     f = E.field_definitions(nodes).select("doc", "file", "table_pre", attr("id").alias("fid"))
@@ -135,46 +133,46 @@ def calculation_markers(nodes: DataFrame) -> DataFrame:
     return c.select("doc", "file", "pre", nearest("Step").alias("step_pre"), F.explode(live_markers(F.col("text"))).alias("marker"))
 
 
-def leftover(shown: list[str], calc: list[str], gone: list[str]) -> list[str]:
-    """The markers of a step's text that nothing explains: a calculation's marker explains one of the same name, a missing or
-    folder reference the closest of the names it prints as."""
-    left = list(shown)
+def _kind() -> Column:
+    """What a marker says is missing, without the occurrence in front."""
+    return F.regexp_extract("marker", r"(<[^<]*)$", 1).alias("kind")
 
-    def explain(kinds: list[str]) -> None:
-        for kind in kinds:
-            for m in left:
-                if m[m.rfind("<") :] == kind:
-                    left.remove(m)
-                    return
 
-    for m in calc:
-        explain([m[m.rfind("<") :]])
-    for tag in gone:
-        explain(PRINTS_AS.get(tag, []))
-    return left
+def unexplained(shown: DataFrame, calc: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc, step, at, marker): the markers of step texts that nothing explains.
 
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _leftover(shown: pd.Series, calc: pd.Series, gone: pd.Series) -> pd.Series:
-    lists = lambda x: [] if x is None else list(x)
-    return pd.Series([leftover(lists(a), lists(b), lists(c)) for a, b, c in zip(shown, calc, gone)])
+    ``shown`` (doc, step, at, marker) are the markers of a step's text in order, ``calc`` (doc, step, marker) those of its calculations, ``gone``
+    (doc, step, pre, tag) its references that lead nowhere. All is counted by step and kind: whatever explains a kind is numbered, calculations
+    first; up to the number shown each takes one marker away, the first ones of that kind. What comes too late for the closest kind its tag
+    prints as is numbered again for the next one."""
+    key = ["doc", "step", "kind"]
+    shown = shown.select("doc", "step", "at", "marker", _kind())
+    have = shown.groupBy(*key).agg(F.count("*").alias("have"))
+    second = F.create_map(*(F.lit(x) for tag, kinds in PRINTS_AS.items() if len(kinds) > 1 for x in (tag, kinds[1])))
+    closest = F.create_map(*(F.lit(x) for tag, kinds in PRINTS_AS.items() for x in (tag, kinds[0])))
+    by_calc = calc.select("doc", "step", _kind(), F.lit(0).alias("turn"), F.lit(0).alias("pre"), F.lit(None).cast("string").alias("tag"))
+    by_ref = gone.where(F.col("tag").isin(*PRINTS_AS)).select("doc", "step", closest[F.col("tag")].alias("kind"), F.lit(1).alias("turn"), "pre", "tag")
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("turn", "pre"))
+    first = by_calc.unionByName(by_ref).withColumn("n", turn).join(have, key, "left")
+    late = first.where((F.col("n") > F.coalesce("have", F.lit(0))) & F.col("tag").isNotNull()).select("doc", "step", second[F.col("tag")].alias("kind")).where("kind is not null")
+    taken = first.select(*key).unionByName(late).groupBy(*key).agg(F.count("*").alias("taken"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("at"))
+    return shown.withColumn("n", place).join(taken, key, "left").where(F.col("n") > F.coalesce("taken", F.lit(0))).select("doc", "step", "at", "marker")
 
 
 def step_markers(nodes: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """(doc, file, pre, marker): markers of step texts that neither a calculation nor a reference of the step explains.
 
-    Only steps whose text shows a marker reach Python. Comment steps (type 89) are the author's words."""
+    Comment steps (type 89) are the author's words."""
     refs = reference_rows(nodes) if refs is None else refs
     text = nodes.where((F.col("tag") == "StepText") & (parent_tag() == "Step") & F.contains("text", F.lit("<"))).select("doc", F.col("parent").alias("step"), strip(F.col("text")).alias("raw"))
-    steps = nodes.where((F.col("tag") == "Step") & (F.coalesce(attr("id"), F.lit("")) != "89")).select(F.col("doc").alias("_d"), "file", F.col("pre").alias("_p"), (F.coalesce(attr("enable"), F.lit("True")) == "True").alias("on"))
-    s = text.join(steps, (F.col("doc") == F.col("_d")) & (F.col("step") == F.col("_p"))).drop("_d", "_p")
+    steps = nodes.where((F.col("tag") == "Step") & (F.coalesce(attr("id"), F.lit("")) != "89")).select("doc", "file", F.col("pre").alias("step"), (F.coalesce(attr("enable"), F.lit("True")) == "True").alias("on"))
     raw = F.when(~F.col("on") & F.startswith("raw", F.lit("//")), F.substring("raw", F.lit(3), F.length("raw"))).otherwise(F.col("raw"))
-    s = s.withColumn("shown", live_markers(raw)).where("size(shown) > 0")
-    ordered = lambda c, v: F.transform(F.sort_array(F.collect_list(F.struct("pre", v))), lambda x: x[v])
-    calc = calculation_markers(nodes).where("step_pre is not null").groupBy(F.col("doc").alias("_d"), F.col("step_pre").alias("_s")).agg(ordered("pre", "marker").alias("calc"))
-    gone = refs.where("status in ('missing', 'folder') and step_pre is not null").groupBy(F.col("doc").alias("_d2"), F.col("step_pre").alias("_s2")).agg(ordered("pre", "tag").alias("gone"))
-    s = s.join(calc, (F.col("doc") == F.col("_d")) & (F.col("step") == F.col("_s")), "left").join(gone, (F.col("doc") == F.col("_d2")) & (F.col("step") == F.col("_s2")), "left")
-    return s.select("doc", "file", F.col("step").alias("pre"), F.explode(_leftover("shown", "calc", "gone")).alias("marker"))
+    shown = text.join(steps, ["doc", "step"]).select("doc", "file", "step", F.posexplode(live_markers(raw)).alias("at", "marker"))
+    calc = calculation_markers(nodes).where("step_pre is not null").select("doc", F.col("step_pre").alias("step"), "marker")
+    gone = refs.where("status in ('missing', 'folder') and step_pre is not null").select("doc", F.col("step_pre").alias("step"), "pre", "tag")
+    left = unexplained(shown, calc, gone)
+    return left.join(steps, ["doc", "step"]).select("doc", "file", F.col("step").alias("pre"), "marker")
 
 
 def unresolved(nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,14 +34,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a new local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; under a local master, where that is unset, a new local one. On a cluster a
+    folder of one machine would lose data, so there it is an error."""
     jsc = spark.sparkContext._jsc.sc()
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at is None:
         have = jsc.getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="shalework-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at

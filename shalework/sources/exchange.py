@@ -113,7 +113,7 @@ def write_catalog(catalog: DataFrame, meta: dict, path: str, force: bool = False
         old = None
     if old is not None and not force:
         if not head.exceptAll(old_head).isEmpty() or not same_entries(old, catalog):
-            raise ContractError("objects changed since this catalog was made; write it with force and classify again")
+            raise ContractError("another catalog is stored here and its entries have changed; use force to replace it, then review what differs")
         return "unchanged"
     if old is not None:
         catalog = written(catalog, "catalog")  # it may read what is overwritten

@@ -35,17 +35,22 @@ def ingest(docs: DataFrame, out: str, state: str) -> StreamingQuery:
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
-def orphan_stream(refs: DataFrame, parents: DataFrame, late: str = "30 days") -> DataFrame:
-    """Counts of orphans by month, table and tag over a stream of references (tab, row_id, tag, file, ref, at).
+def orphan_stream(refs: DataFrame, parents: DataFrame, files: DataFrame | None = None, late: str = "30 days") -> DataFrame:
+    """(period, tab, tag, orphans) by calendar month over a stream of references (tab, row_id, tag, file, ref, at), by the rules of
+    :func:`shalework.operators.orphans.find_orphans`: no blank references, none to files that ``files`` does not know, and a reference without a
+    time is an orphan with a null period.
 
-    Each reference is joined to the parents as they are when its batch runs. Deliveries of one record within ``late`` count once;
-    a month is final once the watermark has passed its end."""
+    Each reference is joined to the parents as they are when its batch runs. Deliveries of one record within ``late`` count once, those without
+    a time every time, since no watermark passes them. Counts are complete when the stream ends or its output mode says so."""
     live = parents.select(F.col("tag").alias("_t"), F.col("file").alias("_f"), F.col("id").alias("_i"), "loaded_at", "deleted_at")
-    r = refs.where(F.col("ref").isNotNull() & ~F.col("ref").isin("", "0")).withWatermark("at", late).dropDuplicatesWithinWatermark(["tab", "row_id"])
+    r = refs.where(F.col("ref").isNotNull() & ~F.col("ref").isin("", "0"))
+    if files is not None:
+        r = r.join(files.select("file").distinct(), "file", "left_semi")
+    r = r.withWatermark("at", late).dropDuplicatesWithinWatermark(["tab", "row_id"])
     lives = live.groupBy("_t", "_f", "_i").agg(F.collect_list(F.struct("loaded_at", "deleted_at")).alias("lives"))
     joined = r.join(lives, (F.col("tag") == F.col("_t")) & (F.col("file") == F.col("_f")) & (F.col("ref") == F.col("_i")), "left")
     covered = F.exists(F.coalesce("lives", F.array().cast(lives.schema["lives"].dataType)), lambda x: (x["loaded_at"] <= F.col("at")) & (x["deleted_at"].isNull() | (x["deleted_at"] > F.col("at"))))
-    return joined.where(~covered).groupBy(F.window("at", "31 days").alias("span"), "tab", "tag").agg(F.count("*").alias("orphans"))
+    return joined.where(~F.coalesce(covered, F.lit(False))).groupBy(F.date_format("at", "yyyy-MM").alias("period"), "tab", "tag").agg(F.count("*").alias("orphans"))
 
 
 def windowed_counts(events: DataFrame, time: str, size: str, slide: str | None, late: str, *keys: str) -> DataFrame:
