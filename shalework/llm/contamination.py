@@ -99,16 +99,31 @@ def _shingles(items: DataFrame, item_id: str, text_col: str, q: int, run: int) -
     return items.where(F.length(text_col) >= run).select(F.col(item_id), F.col(text_col)).distinct().mapInArrow(make, f"item {kind}, h array<bigint>, letters string")
 
 
+#: Hashes that are looked up at once.
+TOGETHER = 400_000
+
+
+def _chunks(texts: pa.Array, q: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Texts in chunks of about ``TOGETHER`` shingles: (letters of each, where its shingles begin and the number of all, hashes one after the other)."""
+    letters: list[np.ndarray] = []
+    hashes: list[np.ndarray] = []
+    size = 0
+    for i, text in enumerate(texts):
+        letters.append(letters_and_digits(text.as_py()))
+        hashes.append(shingle_hashes(letters[-1], q))
+        size += len(hashes[-1])
+        if size >= TOGETHER or i == len(texts) - 1:
+            yield letters, np.concatenate([[0], np.cumsum([len(h) for h in hashes])]), np.concatenate(hashes)
+            letters, hashes, size = [], [], 0
+
+
 def _corpus_counts(documents: DataFrame, text_col: str, words, q: int, min_chars: int) -> DataFrame:
     """(h, n): in how many places of the corpus each shingle occurs that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = bitmap.Map(words.value)
         for b in batches:
-            some = []
-            for text in b.column(0):
-                h = shingle_hashes(letters_and_digits(text.as_py()), q)
-                some.append(h[filled.passes(h)])
+            some = [h[filled.passes(h)] for _, _, h in _chunks(b.column(0), q)]
             h, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -193,15 +208,19 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         whole, filled = bitmap.Map(first.value), bitmap.Map(second.value)
         for b in batches:
             of, tokens, back, around = [], [], [], []
-            for i, text in enumerate(b.column(1)):
-                points = letters_and_digits(text.as_py())
-                h = shingle_hashes(points, q)
+            done = 0
+            for letters, begins, h in _chunks(b.column(1), q):
+                # a stretch may run on into the next text, which only lets more pass
                 places = _stretches(whole.passes(h), run - q + 1)
-                for at in places[filled.passes(h[places])].tolist():
-                    of.append(i)
-                    tokens.append(int(h[at].view(np.int64)))
+                places = places[filled.passes(h[places])]
+                owner = np.searchsorted(begins, places, "right") - 1
+                for place, i in zip(places.tolist(), owner.tolist()):
+                    at = place - int(begins[i])
+                    of.append(done + i)
+                    tokens.append(int(h[place].view(np.int64)))
                     back.append(min(at, run - q))
-                    around.append(points[max(0, at - run + q) : at + run].tobytes().decode("utf-32-le", "surrogatepass"))
+                    around.append(letters[i][max(0, at - run + q) : at + run].tobytes().decode("utf-32-le", "surrogatepass"))
+                done += len(letters)
             rows = b.column(0).take(pa.array(of, pa.int64()))
             yield pa.record_batch([pa.array(tokens, pa.int64()), rows, pa.array(back, pa.int32()), pa.array(around, pa.string())], ["h", "doc", "doc_back", "doc_around"])
 
