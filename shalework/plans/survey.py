@@ -183,16 +183,6 @@ def j11_cross_file_calls(spark, d):
     return s.join(last, (F.regexp_replace(F.lower("called_file"), r"\.fmp12$", "") == F.col("_f")) & (F.col("called_script") == F.col("_i"))).select("step_uid", "file", "called_file", "called_name")
 
 
-@query("SELECT c_nationkey, s_nationkey, count(*) AS pairs FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_regionkey = b.n_regionkey GROUP BY ALL")
-def j3_role_playing(spark, d):
-    n = table(spark, d, "nation")
-    # counts before the join: pairs are products, they are not enumerated
-    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("nc"))
-    s = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("ns"))
-    j = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).join(n.alias("a"), F.col("c_nationkey") == F.col("a.n_nationkey")).join(n.alias("b"), F.col("s_nationkey") == F.col("b.n_nationkey"))
-    return j.where("a.n_regionkey = b.n_regionkey").select("c_nationkey", "s_nationkey", (F.col("nc") * F.col("ns")).alias("pairs"))
-
-
 # --- aggregates and order (A, O, U) -------------------------------------------------------------------------------
 
 
@@ -246,12 +236,6 @@ def a8_reconcile(spark, d):
     return one("steps", "step_uid").unionByName(one("scripts", "file", "id")).unionByName(one("unresolved", "row_id"))
 
 
-@query("SELECT user_id, event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
-def o4_keep_first(spark, d):
-    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("m"))
-    return first.select("user_id", "event_type", "m.event_id", "m.ts")
-
-
 @query("SELECT file, sum(n)::BIGINT AS n FROM (SELECT file, count(*) AS n FROM scripts GROUP BY file UNION ALL SELECT file, count(*) FROM value_lists GROUP BY file UNION ALL SELECT file, count(*) FROM data_sources GROUP BY file) GROUP BY file")
 def u1_union_all(spark, d):
     t = lambda n: table(spark, d, n).select("file")
@@ -345,11 +329,6 @@ def q20_unreachable(spark, d):
     return x.withColumn("e", e).where("step_line > e").groupBy("file", "script_id").agg(F.count("*").alias("dead"))
 
 
-@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS suppliers, count(*) AS uses FROM lineitem GROUP BY l_partkey")
-def q1_inverted_index(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count("*").alias("uses"))
-
-
 @query(r"""WITH s AS (SELECT DISTINCT regexp_replace(lower(file), '\.fmp12$', '') AS f, file, id FROM scripts), c AS (SELECT DISTINCT regexp_replace(lower(CASE WHEN called_file IS NULL OR trim(called_file) = '' THEN file ELSE called_file END), '\.fmp12$', '') AS f, trim(called_script) AS id, file AS from_file, script_id FROM steps WHERE called_script IS NOT NULL)
 SELECT s.file, s.id, count(c.id) AS callers, CASE WHEN count(c.id) = 0 THEN 'none found' END AS reason FROM s LEFT JOIN c ON c.f = s.f AND c.id = s.id GROUP BY s.file, s.id""")
 def q2_callers(spark, d):
@@ -362,12 +341,6 @@ def q2_callers(spark, d):
     return s.join(c, ["f", "id"], "left").select("file", "id", n.alias("callers"), F.when(n == 0, "none found").alias("reason"))
 
 
-@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'view') THEN 'V' ELSE '-' END || CASE WHEN bool_or(event_type = 'click') THEN 'C' ELSE '-' END || CASE WHEN bool_or(event_type = 'purchase') THEN 'P' ELSE '-' END AS letters FROM events GROUP BY user_id""")
-def q14_letters(spark, d):
-    x = lambda t, c: F.when(F.bool_or(F.col("event_type") == t), c).otherwise("-")
-    return table(spark, d, "events").groupBy("user_id").agg(F.concat(x("view", "V"), x("click", "C"), x("purchase", "P")).alias("letters"))
-
-
 @query("SELECT step_uid, name AS effect FROM (SELECT DISTINCT step_uid, name, enabled FROM steps) WHERE enabled AND name IN ('Insert from URL', 'Send Mail', 'Open URL')")
 def q19_external_effects(spark, d):
     return table(spark, d, "steps").where(F.col("enabled") & F.col("name").isin(*graph.EXTERNAL_STEPS)).select("step_uid", F.col("name").alias("effect")).distinct()
@@ -553,13 +526,6 @@ def e28_separators(spark, d):
     return s.groupBy("file", "id").agg(F.max(dash.cast("int")).alias("dash"), F.max((dash & F.col("has").isNull()).cast("int")).alias("separator"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'globals' WHEN p_type LIKE '%BRASS' THEN 'summary' WHEN p_type LIKE 'SMALL%' THEN 'calculated' ELSE 'fields' END AS bucket FROM part WHERE NOT (p_name LIKE 'a%' AND p_name LIKE '%e')")
-def e8_field_buckets(spark, d):
-    p = table(spark, d, "part").where(~(F.startswith("p_name", F.lit("a")) & F.endswith("p_name", F.lit("e"))))
-    bucket = F.when(F.col("p_size") > 40, "globals").when(F.col("p_type").like("%BRASS"), "summary").when(F.col("p_type").like("SMALL%"), "calculated").otherwise("fields")
-    return p.select("p_partkey", bucket.alias("bucket"))
-
-
 @query("SELECT DISTINCT obj_id, CASE trim(display_type) WHEN '0' THEN 'edit box' WHEN '1' THEN 'drop-down list' WHEN '2' THEN 'pop-up menu' WHEN '3' THEN 'checkbox set' WHEN '4' THEN 'radio button set' WHEN '6' THEN 'drop-down calendar' ELSE trim(display_type) END AS shown, (TRY_CAST(trim(flags) AS BIGINT) & 4) > 0 AS bit_4 FROM layout_objects WHERE display_type IS NOT NULL")
 def e31_codes(spark, d):
     from shalework.operators.rendering import DISPLAY_TYPES
@@ -569,12 +535,6 @@ def e31_codes(spark, d):
     return table(spark, d, "layout_objects").where("display_type is not null").select("obj_id", F.coalesce(names[code], code).alias("shown"), (F.trim("flags").try_cast("bigint").bitwiseAND(F.lit(4)) > 0).alias("bit_4")).distinct()
 
 
-@query("SELECT key, count(*) AS n FROM (SELECT 'part' || l_partkey AS key FROM lineitem UNION ALL SELECT 'supp' || l_suppkey FROM lineitem) GROUP BY key")
-def j13_both_sides(spark, d):
-    ends = F.array(F.concat(F.lit("part"), "l_partkey"), F.concat(F.lit("supp"), "l_suppkey"))
-    return table(spark, d, "lineitem").select(F.explode(ends).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-
-
 @query("SELECT file, name, arg_min(id, struct_pack(a := loaded_at, b := id)) AS id FROM data_sources WHERE name <> '' GROUP BY file, name")
 def j14_source_by_name(spark, d):
     return table(spark, d, "data_sources").where("name <> ''").groupBy("file", "name").agg(F.min_by("id", F.struct("loaded_at", "id")).alias("id"))
@@ -619,6 +579,14 @@ def f8_characters(spark, d):
     return table(spark, d, "layout_objects").where(F.col("object_key").rlike("^[0-9]{1,4}$")).select("obj_id", X.char_of(F.col("object_key")).alias("c")).distinct()
 
 
+@query("SELECT DISTINCT obj_id, CASE WHEN n = 0 THEN '' WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN printf('U+%04X', n) ELSE chr(CAST(n AS INT)) END AS c FROM (SELECT obj_id, coalesce(TRY_CAST(trim(object_key) AS BIGINT), 0) * 7919 AS n FROM layout_objects WHERE object_key IS NOT NULL AND NOT regexp_matches(trim(object_key), '[^0-9]'))")
+def f8_characters_of_any_code(spark, d):
+    """As f8_characters, over codes of any length: keys are multiplied so that surrogates and numbers beyond Unicode occur."""
+    keys = table(spark, d, "layout_objects").where("object_key is not null").where(~F.trim("object_key").rlike("[^0-9]"))
+    n = F.coalesce(F.trim("object_key").try_cast("bigint"), F.lit(0)) * 7919
+    return keys.select("obj_id", X.char_of(n.cast("string")).alias("c")).distinct()
+
+
 @query("SELECT path, lines FROM (" + _CUR + ") WHERE snapshot_no = 6 AND lines IS NOT NULL ORDER BY lines DESC, path DESC LIMIT 1")
 def o3_largest(spark, d):
     return _index(spark, d, 6).where("lines is not null").orderBy(F.desc("lines"), F.desc("path")).limit(1).select("path", "lines")
