@@ -21,7 +21,7 @@ def test_explode_snapshot_verify_assign(spark, tmp_path, capsys):
     common = ["--index", str(out / "index")]
     assert main(["snapshot", *common, "--kind", "scripts", "--output", cat], spark) == 0
     entries = spark.read.parquet(f"{cat}/entries").collect()
-    assert {e.source_id for e in entries} == {"Mini.fmp12/scripts/1-Open.txt", "Mini.fmp12/scripts/21-Set_closed.txt"}
+    assert {e.source_id for e in entries} == {"Mini.fmp12/scripts/1-Open.txt", "Mini.fmp12/scripts/21-Cast_off.txt"}
     csv = tmp_path / "csv"
     for e in entries:
         at = csv / e.output_file
@@ -45,13 +45,13 @@ def test_specs(spark):
     n = R.shred(spark.createDataFrame([("a", A), ("b", B), ("c", MINI)], "doc string, text string")).cache()
     made = {k: [json.loads(r.value) for r in v.collect()] for k, v in specs.specs(n).items()}
     assert len(made) == 11
-    visits = next(t for t in made["01_tables"] if t["name"] == "Visits")
-    assert [f["name"] for f in visits["fields"]] == ["ID", "line_no"] and visits["fields"][0]["validation"] == {"not_empty": True, "unique": True} and "comment" not in visits["fields"][1]
-    assert next(o for o in made["02_table_occurrences"] if o["name"] == "Things")["resolved_source_file"] == "Backend.fmp12"
-    detail = next(x for x in made["04_layouts"] if x["name"] == "Detail")
+    moorings = next(t for t in made["01_tables"] if t["name"] == "Moorings")
+    assert [f["name"] for f in moorings["fields"]] == ["ID", "rope_no"] and moorings["fields"][0]["validation"] == {"not_empty": True, "unique": True} and "comment" not in moorings["fields"][1]
+    assert next(o for o in made["02_table_occurrences"] if o["name"] == "Ropes")["resolved_source_file"] == "Bilge.fmp12"
+    detail = next(x for x in made["04_layouts"] if x["name"] == "Deck")
     assert len(detail["buttons"]) == 2 and "group" not in detail
     assert [s["step_text"] for s in next(s for s in made["05_scripts"] if s["name"] == "Open")["steps"]][0].startswith("Perform Script")
-    assert {r["reference"] for r in made["00_topology"] if r.get("unresolved")} == {"Gone"} and len(made["07_security"]) == 2 and made["10_hide_object_when"][0]["layout"] == "Detail"
+    assert {r["reference"] for r in made["00_topology"] if r.get("unresolved")} == {"Gone"} and len(made["07_security"]) == 2 and made["10_hide_object_when"][0]["layout"] == "Deck"
     n.unpersist()
 
 
